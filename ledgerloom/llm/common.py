@@ -1,14 +1,17 @@
-"""What the operators share: table access, the shared folder, bucketed running sums, connected components."""
+"""What the operators share: table access, rows by id, bucketed running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..operators.storage import settle, shared_dir, unsettle
+
+__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "one_per_id", "running", "settle", "shared_dir", "table", "texts", "unsettle"]
+
 #: White space of the word rules: a space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a bucket of a running sum.
@@ -19,33 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. Only where the session names none, as in tests, one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df as a written table of the shared folder: lineage ends there, and a lost executor costs nothing that is done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
-
-
-def unsettle(*frames: DataFrame) -> None:
-    """Removes the files of settled frames that nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_settled_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names, in any case, renamed, and how to rename them back."""
+    back = {f"__aside_{c}": c for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed({v: k for k, v in back.items()}), back
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -84,24 +64,3 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Co
     sums = sums.select(*keys, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
     inner = F.sum("__a").over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__a")
     return cut.withColumn("__i", inner).join(sums, [*keys, "__b"]).withColumn(name, F.col("__i") + F.col("__o")).drop("__b", "__a", "__i", "__o")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in edges (a, b): component is the least id that is reachable. Large-star and
-    small-star rounds in turn; each round is written to the shared folder."""
-    now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = settle(small.where("u <> v").distinct())
-        unsettle(now)
-        now = after
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == state:
-            break
-        state = (seen.n, seen.h)
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 #: Kinds in the order of ties, with the least length of what a match must hold.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -92,11 +94,12 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span of text replaced by mark; overlapping spans are replaced together. Rows without spans, null
     texts among them, stay as they are."""
-    found = scan(docs)
+    rest, back = aside(docs, "base", "found", "__t", "__assign", "__access", "__hex", "__entropy")
+    found = scan(rest)
     cut = f"""if(size(found) = 0, text, transform(array(aggregate(found, named_struct('at', 0, 'out', cast(array() as array<string>)),
       (s, x) -> if(x.start >= s.at, named_struct('at', x.end, 'out', concat(s.out, array(substring(text, s.at + 1, x.start - s.at), {_quoted(mark)}))),
                    named_struct('at', greatest(s.at, x.end), 'out', s.out)))), z -> concat(array_join(z.out, ''), substring(text, z.at + 1)))[0])"""
-    return found.withColumn("text", F.expr(cut)).select(*docs.columns)
+    return found.withColumn("text", F.expr(cut)).select(*rest.columns).withColumnsRenamed(back)
 
 
 def _joined(name: str) -> Column:
