@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,11 @@ SAMPLE = 3000
 BUCKETS = 1 << 17
 DIM = 16
 EPOCHS = 6
-RATE = 4.0
+#: Step of each coordinate, divided by the root of its squared gradients so far.
+RATE = 0.05
 GRAMS = (3, 5)
+#: The bucket of word bigrams of one word twice, which tell repetition whatever the word.
+SAME = BUCKETS - 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,16 +46,18 @@ def features(word: bytes) -> list[int]:
     b = b"<" + (word if len(word) <= 64 else word[:32] + word[-32:]) + b">"
     grams = {b[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(b) - n + 1)}
     grams.add(b"=" + word)
-    return [zlib.crc32(g) % BUCKETS for g in grams]
+    return [zlib.crc32(g) % SAME for g in grams]
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their weights, which sum to 1 where there are words."""
+    """Distinct buckets of a text and their weights: those of words sum to 1, and SAME has the share of words that repeat the one before."""
     ws = words(text)
     counts: dict[bytes, int] = {}
     for w in ws:
         counts[w] = counts.get(w, 0) + 1
     total: dict[int, float] = {}
+    if same := sum(map(eq, ws, ws[1:])):
+        total[SAME] = same / len(ws)
     for w, c in counts.items():
         found = features(w)
         share = c / (len(ws) * len(found))
@@ -70,21 +76,23 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1) -> tuple[np
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     docs = [vector(t) for t in texts]
-    step, steps = 0, EPOCHS * len(docs)
+    seen = np.full((BUCKETS, 1), 1e-8, np.float32)
+    seen_out, seen_bias = np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(docs)):
             ids, weights = docs[k]
-            rate = RATE * (1 - step / steps)
-            step += 1
             mean = weights @ vectors[ids]
             z = mean @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y[k]] -= 1
-            back = out @ p
-            out -= (rate * 0.1) * np.outer(mean, p)
-            bias -= (rate * 0.01) * p
-            vectors[ids] -= rate * weights[:, None] * back
+            g_out, back = np.outer(mean, p), weights[:, None] * (out @ p)
+            seen_out += g_out * g_out
+            seen_bias += p * p
+            seen[ids] += (back * back).mean(1, keepdims=True)
+            out -= RATE * g_out / np.sqrt(seen_out)
+            bias -= RATE * p / np.sqrt(seen_bias)
+            vectors[ids] -= RATE * back / np.sqrt(seen[ids])
     delta = out[:, 1] - out[:, 0]
     return vectors @ delta, float(bias[1] - bias[0])
 
@@ -129,7 +137,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
             for part in in_chunks(t if isinstance(t, str) else None for t in batch["text"]):
                 lists = [words(t) for t in part]
                 n = np.maximum([len(ws) for ws in lists], 1)
-                z = sums.add(lists)[:, 0] / n + bias
+                same = [sum(map(eq, ws, ws[1:])) for ws in lists]
+                z = (sums.add(lists)[:, 0] + delta[SAME] * np.asarray(same)) / n + bias
                 out += (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
             yield batch.assign(**{name: out})
 
