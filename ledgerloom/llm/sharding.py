@@ -1,10 +1,11 @@
 """Sharding: balanced label propagation, then a levelling cut.
 
-Documents of equal text are linked. Each starts in a shard by the hash of its id. A round lets every linked document ask
-for the shard that holds most bytes of its group, and admits as many as the shard's quota still allows. Afterwards all
-rows are laid out by (label, group) and cut where the running sum of sizes passes a multiple of a fortieth of the total:
-sizes differ by less than one document on either side, and a cut divides one group at most. Groups larger than a shard
-are divided, as they must be. Running sums go through sums of buckets of about 20,000 rows, so no task gets a whole
+Documents of equal text are linked. Each starts in a shard by the hash of its id. In a round the documents of every group
+that is still apart vote, with their bytes, for the shards that they are in; shards with room for the whole group come
+first. The group moves to the winner if the shard's quota has room after the groups that are before it in the queue, and
+asks again in the next round if not. Groups that never fit stay spread. Afterwards all rows are laid out by (label, group)
+and cut where the running sum of sizes passes a multiple of a fortieth of the total: sizes differ by less than one document
+on either side, and a cut divides one group at most. Groups larger than a shard are divided, as they must be. Running sums go through sums of buckets of about 20,000 rows, so no task gets a whole
 shard or a whole hot group. All of it is DataFrame functions.
 
 Null texts have no bytes and are one group of their own. Every row gets a slot: rows without an id and repeated rows too.
@@ -20,9 +21,9 @@ from .common import BUCKET_ROWS, buckets_for, running, settle
 
 #: Bytes that each document counts beside its text's.
 OVERHEAD = 16
-ROUNDS = 3
+ROUNDS = 4
 #: Share by which propagation may overfill a shard; the cut afterwards levels it.
-SLACK = 0.02
+SLACK = 0.01
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -38,24 +39,25 @@ def _sized(docs: DataFrame) -> DataFrame:
 def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """rows (doc_id, size, text_crc32, g) with n, the size of the group, and label, the shard that it ends in."""
     link = ["g", "text_crc32", "size"]  # texts are equal where all three are
-    groups = rows.groupBy(*link).agg(F.count(F.lit(1)).alias("n"))
-    rows = settle(rows.join(groups, link).withColumn("label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int")))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    first = settle(rows.withColumn("label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int")))
+    votes = settle(first.groupBy(*link, "label").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.col("c") * F.col("size")))
+    groups = settle(votes.groupBy(*link).agg(F.sum("c").alias("n"), F.sum("w").alias("bytes")))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
     quota = total / shards * (1 + SLACK)
-    lone, linked = rows.where("n = 1"), rows.where("n > 1")
-    still = settle(lone.groupBy("label").agg(F.sum("size").alias("w")))
     all_shards = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("label"))
-    buckets = buckets_for(linked.count())
+    lone = settle(votes.join(groups.where("n = 1"), link, "left_semi").groupBy("label").agg(F.sum("w").alias("held")))
+    open_groups = groups.where("n > 1")
+    buckets = buckets_for(open_groups.count())
+    placed = settle(open_groups.limit(0).select(*link, "bytes", F.lit(0).alias("target")))
     for _ in range(rounds):
-        votes = linked.groupBy(*link, "label").agg(F.sum(F.col("size")).alias("w"))
-        best = votes.groupBy(*link).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("target"))
-        load = linked.groupBy("label").agg(F.sum("size").alias("w")).unionByName(still).groupBy("label").agg(F.sum("w").alias("w"))
-        free = all_shards.join(load, "label", "left").select(F.col("label").alias("target"), (F.lit(quota) - F.coalesce("w", F.lit(0))).alias("free"))
-        asked = linked.join(best, link)
-        movers = running(asked.where("label <> target"), ["target"], ["g", "doc_id"], F.col("size"), "before", buckets)
-        moved = movers.join(free, "target").withColumn("label", F.when(F.col("before") + F.col("size") <= F.col("free"), F.col("target")).otherwise(F.col("label")))
-        linked = settle(asked.where("label = target").select(rows.columns).unionByName(moved.select(rows.columns)))
-    return lone.unionByName(linked)
+        held = lone.unionByName(placed.groupBy(F.col("target").alias("label")).agg(F.sum("bytes").alias("held"))).groupBy("label").agg(F.sum("held").alias("held"))
+        free = all_shards.join(held, "label", "left").select("label", (F.lit(quota) - F.coalesce("held", F.lit(0))).alias("free"))
+        asked = votes.join(open_groups.join(placed, link, "left_anti"), link).join(free, "label")
+        best = asked.groupBy(*link).agg(F.first("bytes").alias("bytes"), F.max_by(F.struct("label", "free"), F.struct(F.col("free") >= F.col("bytes"), "w", -F.col("label"))).alias("best"))
+        best = best.select(*link, "bytes", F.col("best.label").alias("target"), F.col("best.free").alias("free"))
+        queue = running(best, ["target"], link, F.col("bytes"), "before", buckets)
+        placed = settle(placed.unionByName(queue.where(F.col("before") + F.col("bytes") <= F.col("free")).select(placed.columns)))
+    return first.join(groups.select(*link, "n"), link).join(placed.select(*link, "target"), link, "left").withColumn("label", F.coalesce("target", "label")).drop("target")
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
