@@ -22,6 +22,8 @@ MIN_GROUP = 200
 #: Share of a group that the concentration steps keep.
 KEPT_SHARE = 0.75
 STEPS = 3
+#: Groups whose estimates are sent to every executor, some 200 bytes each; more are joined by shuffle.
+MOST_GROUPS = 20_000
 #: Squared distance beyond which a document is rejected. Clean text is heavy-tailed (short texts vary more), so it is far
 #: beyond the chi-squared quantiles of normal coordinates.
 CUTOFF = 80.0
@@ -91,8 +93,13 @@ def _factor(stats: DataFrame) -> DataFrame:
     return stats.select("__g", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i in range(P) for j in range(i + 1)))
 
 
+def _with(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """rows with a settled table of one row for each group, which is sent to all while it has MOST_GROUPS rows at most."""
+    return rows.join(F.broadcast(small) if small.count() <= MOST_GROUPS else small, "__g")
+
+
 def _distance(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    out = rows.join(stats, "__g")
+    out = _with(rows, stats)
     for i in range(P):
         left = F.col(f"x{i}") - F.col(f"m_{i}")
         for k in range(i):
@@ -109,13 +116,13 @@ def outliers(feats: DataFrame) -> DataFrame:
     stats = start.select("__g", *(F.col(f"q{i}")[1].alias(f"m_{i}") for i in range(P)), *(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 2 * ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
     for _ in range(STEPS):
         far = _distance(rows, settle(_factor(stats)))
-        near = far.groupBy("__g").agg(F.expr(f"percentile_approx(__d, {KEPT_SHARE}, 1000)").alias("__q"))
-        kept = far.join(near, "__g").where("__d <= __q")
+        near = settle(far.groupBy("__g").agg(F.expr(f"percentile_approx(__d, {KEPT_SHARE}, 1000)").alias("__q")))
+        kept = _with(far, near).where("__d <= __q")
         sums = kept.groupBy("__g").agg(*(F.avg(f"x{i}").alias(f"m_{i}") for i in range(P)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)))
         stats = sums.select("__g", *(f"m_{i}" for i in range(P)), *((F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
     far = _distance(rows, settle(_factor(stats)))
-    scale = far.groupBy("__g").agg(F.greatest(F.expr("percentile_approx(__d, 0.5, 1000)") / CHI2_MEDIAN, F.lit(1.0)).alias("__c"))
-    return far.join(scale, "__g").withColumn("distance", F.col("__d") / F.col("__c")).drop("__g", "__d", "__c", *(f"x{i}" for i in range(P)))
+    scale = settle(far.groupBy("__g").agg(F.greatest(F.expr("percentile_approx(__d, 0.5, 1000)") / CHI2_MEDIAN, F.lit(1.0)).alias("__c")))
+    return _with(far, scale).withColumn("distance", F.col("__d") / F.col("__c")).drop("__g", "__d", "__c", *(f"x{i}" for i in range(P)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
