@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_per_id
-from .windows import BUCKET, Units, cut, read_words, spans_by_doc, survivors, union
+from .windows import BUCKET, HELD, Units, each_stretch, read_words, spans_by_doc, survivors, union, with_anchors
 
 WINDOW, GRAM = 20, 7
 WORDS = Units(read_words, GRAM, WINDOW)
@@ -104,12 +104,54 @@ def repeats(group: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int
                 yield doc_id, first + k, first + end
 
 
+STRETCH = "bucket int, key long, doc_id long, first long, before int, last long, body binary"
+
+
+def _cut(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """Stretches as rows of STRETCH. Of equal ones a task sends the first; the others are known to repeat it, so they go to
+    buckets of their documents, without a body, and a hot group sends no more rows than there are tasks."""
+
+    def rows(kinds: dict, later: list) -> pd.DataFrame:
+        out = [(d % buckets, 0, d, first, 0, last, None) for d, first, last in later]
+        out += [(key % buckets, key, d, first, before, first + more, body) for (key, before, more, body), (d, first) in kinds.items()]
+        kinds.clear()
+        later.clear()
+        return pd.DataFrame(out, columns=[x.split()[0] for x in STRETCH.split(", ")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds: dict[tuple, tuple[int, int]] = {}
+        later: list[tuple[int, int, int]] = []
+        size = 0
+        for batch in batches:
+            for part in each_stretch(batch, WORDS):
+                for s in part:
+                    kind, me = (s.key, s.before, s.last - s.first, s.body), (s.doc_id, s.first)
+                    best = kinds.get(kind)
+                    if best is None:
+                        kinds[kind] = me
+                        size += len(s.body) + 200
+                        continue
+                    kinds[kind], (doc_id, first) = (best, me) if best < me else (me, best)
+                    later.append((doc_id, first, first + s.last - s.first))
+                    size += 100
+                if size > HELD:
+                    yield rows(kinds, later)
+                    size = 0
+        if kinds:
+            yield rows(kinds, later)
+
+    return with_anchors(docs, found).mapInPandas(run, STRETCH)
+
+
 def _marks(found: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = defaultdict(list)
-        for key, *rest in zip(rows["key"].tolist(), rows["doc_id"].tolist(), rows["first"].tolist(), rows["before"].tolist(), rows["last"].tolist(), rows["body"].tolist(), strict=True):
-            groups[key].append(tuple(rest))
-        out = [(d, a, b + WINDOW) for g in groups.values() if len(g) > 1 for d, a, b in repeats(g)]
+        groups, out = defaultdict(list), []
+        for key, doc_id, first, before, last, body in zip(*(rows[c].tolist() for c in ("key", "doc_id", "first", "before", "last", "body")), strict=True):
+            if body is None:
+                out.append((doc_id, first, last + WINDOW))
+            else:
+                groups[key].append((doc_id, first, before, last, body))
+        out += [(d, a, b + WINDOW) for g in groups.values() if len(g) > 1 for d, a, b in repeats(g)]
         return pd.DataFrame(out, columns=["doc_id", "start", "end"])
 
     return found.groupBy("bucket").applyInPandas(run, "doc_id long, start long, end long")
@@ -118,7 +160,7 @@ def _marks(found: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): spans of words to remove, which may overlap, of documents that have any. docs as of one_per_id()."""
     found = survivors(docs, WORDS)
-    return spans_by_doc(_marks(cut(docs, found, WORDS, max(1, -(-found.count() // BUCKET)))))
+    return spans_by_doc(_marks(_cut(docs, found, max(1, -(-found.count() // BUCKET)))))
 
 
 def remove(docs: DataFrame) -> DataFrame:

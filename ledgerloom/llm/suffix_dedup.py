@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import one_per_id
-from .windows import BUCKET, Units, by_doc, groups_of, read_bytes, runs, spans_by_doc, stretches, survivors, union
+from .windows import BUCKET, HELD, Units, each_stretch, read_bytes, spans_by_doc, survivors, union, with_anchors
 
 WINDOW, GRAM = 200, 64
 BYTES = Units(read_bytes, GRAM, WINDOW)
@@ -210,34 +210,43 @@ def repeats(order: list[tuple[Suffix, int]]) -> Iterator[tuple[int, int, int]]:
                 yield s.doc_id, s.first + k, s.first + end
 
 
-def _runs(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, run): front-coded sorted runs."""
-    rows = docs.join(by_doc(found), "doc_id").select("doc_id", "text", "anchors")
+SENT = "bucket int, run binary, marks binary"
+
 
-    def send(held: dict[int, list[Suffix]]) -> pd.DataFrame:
-        out = pd.DataFrame({"bucket": list(held), "run": [encode(run) for run in held.values()]})
-        held.clear()
-        return out
+def _send(held: dict[int, list[Suffix]], buckets: int) -> pd.DataFrame:
+    """Rows of SENT: front-coded sorted runs, and marks: windows of suffixes of which the task has copies. One of them goes
+    into the run; the marks go to buckets of their documents."""
+    out, marks = [], defaultdict(list)
+    for bucket, suffixes in held.items():
+        kinds: dict[tuple, list[Suffix]] = {}
+        for s in suffixes:
+            kinds.setdefault((s.key, s.text, s.front, s.more), []).append(s)
+        for same in kinds.values():
+            if len(same) > 1:
+                for s in same:
+                    marks[s.doc_id % buckets].append((s.doc_id, s.first, s.first + s.more))
+        out.append((bucket, encode([same[0] for same in kinds.values()]), None))
+    out += [(bucket, None, np.asarray(found, np.int64).tobytes()) for bucket, found in marks.items()]
+    held.clear()
+    return pd.DataFrame(out, columns=["bucket", "run", "marks"])
 
+
+def _runs(docs: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[Suffix]] = defaultdict(list)
         size = 0
         for batch in batches:
-            ids, anchors = batch["doc_id"].tolist(), batch["anchors"].tolist()
-            for first, group in groups_of(batch["text"], BYTES):
-                r = runs(group, BYTES)
-                edges = np.searchsorted(r.doc, np.arange(len(group) + 1))
-                for i, (raw, starts) in enumerate(group):
-                    for s in stretches(ids[first + i], raw, starts, anchors[first + i], r, np.arange(edges[i], edges[i + 1]), BYTES):
-                        held[s.key % buckets].append(Suffix(s.key, s.doc_id, s.first, s.last - s.first, s.body[: s.before], s.body[s.before :]))
-                        size += len(s.body) + 200
-                if size > 48_000_000:
-                    yield send(held)
+            for part in each_stretch(batch, BYTES):
+                for s in part:
+                    held[s.key % buckets].append(Suffix(s.key, s.doc_id, s.first, s.last - s.first, s.body[: s.before], s.body[s.before :]))
+                    size += len(s.body) + 200
+                if size > HELD:
+                    yield _send(held, buckets)
                     size = 0
         if held:
-            yield send(held)
+            yield _send(held, buckets)
 
-    return rows.mapInPandas(run, "bucket int, run binary")
+    return with_anchors(docs, found).mapInPandas(run, SENT)
 
 
 def _marks(sent: DataFrame) -> DataFrame:
@@ -249,11 +258,14 @@ def _marks(sent: DataFrame) -> DataFrame:
                 out.extend((d, a, b + WINDOW) for d, a, b in repeats(same))
             same.clear()
 
-        for s, n in LoserTree([decode(bytes(x)) for x in rows["run"]]):
+        for s, n in LoserTree([decode(bytes(x)) for x in rows["run"] if x is not None]):
             if same and same[-1][0].key != s.key:
                 ended()
             same.append((s, n))
         ended()
+        for x in rows["marks"]:
+            if x is not None:
+                out.extend((d, a, b + WINDOW) for d, a, b in np.frombuffer(x, np.int64).reshape(-1, 3).tolist())
         return pd.DataFrame(out, columns=["doc_id", "start", "end"])
 
     return sent.groupBy("bucket").applyInPandas(merge, "doc_id long, start long, end long")

@@ -27,8 +27,9 @@ from .common import settle, unsettle
 PART = 400_000
 #: Anchors of one gram beyond which it is a hot prefix, and classes of its windows.
 HOT, CLASSES = 2_000, 8
-#: Stretches in a bucket, about.
+#: Stretches in a bucket, about, and bytes of them that a task holds before it sends them.
 BUCKET = 20_000
+HELD = 48_000_000
 
 _rng = np.random.default_rng(97)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -167,16 +168,13 @@ def survivors(docs: DataFrame, units: Units) -> DataFrame:
 
     anchors = settle(docs.mapInPandas(run, "gram long, doc_id long, at long"))
     classes = F.when(F.col("n") > HOT * CLASSES, F.lit(units.window)).when(F.col("n") > HOT, F.lit(CLASSES)).otherwise(F.lit(1))
-    again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", classes.alias("classes"))
+    # written first: adaptive execution splits the partitions of hot grams only between plain shuffles
+    again = settle(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", classes.alias("classes")))
     out = settle(anchors.join(again, "gram").select("doc_id", "at", "gram", "classes"))
-    unsettle(anchors)
+    unsettle(anchors, again)
     return out
 
 
-def by_doc(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram", "classes")).alias("anchors"))
-
-
 class Stretch(NamedTuple):
     """The windows first to last of a document around one anchor: body holds their units, before of them stand in front
     of the anchor. key is the prefix by which stretches meet."""
@@ -189,9 +187,6 @@ class Stretch(NamedTuple):
     body: bytes
 
 
-STRETCH = "bucket int, key long, doc_id long, first long, before int, last long, body binary"
-
-
 def stretches(doc_id: int, raw: bytes, starts: np.ndarray, anchors: Iterable, r: Runs, rows: np.ndarray, units: Units) -> Iterator[Stretch]:
     """Those of one document: rows are its runs in r."""
     classes = {}
@@ -222,23 +217,19 @@ def hash_bytes(raw: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
 
 
-def cut(docs: DataFrame, found: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """The stretches of the surviving anchors, as rows of STRETCH."""
-    rows = docs.join(by_doc(found), "doc_id")
+def each_stretch(batch: pd.DataFrame, units: Units) -> Iterator[list[Stretch]]:
+    """Stretches of a batch (doc_id, text, anchors), about PART units at a time."""
+    ids, anchors = batch["doc_id"].tolist(), batch["anchors"].tolist()
+    for first, group in groups_of(batch["text"], units):
+        r = runs(group, units)
+        edges = np.searchsorted(r.doc, np.arange(len(group) + 1))
+        yield [s for i, (raw, starts) in enumerate(group) for s in stretches(ids[first + i], raw, starts, anchors[first + i], r, np.arange(edges[i], edges[i + 1]), units)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, anchors = batch["doc_id"].tolist(), batch["anchors"].tolist()
-            for first, group in groups_of(batch["text"], units):
-                r = runs(group, units)
-                edges = np.searchsorted(r.doc, np.arange(len(group) + 1))
-                out = []
-                for i, (raw, starts) in enumerate(group):
-                    for s in stretches(ids[first + i], raw, starts, anchors[first + i], r, np.arange(edges[i], edges[i + 1]), units):
-                        out.append((s.key % buckets, *s))
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in STRETCH.split(", ")])
-
-    return rows.select("doc_id", "text", "anchors").mapInPandas(run, STRETCH)
+
+def with_anchors(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, text, anchors) of the documents that have surviving anchors."""
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram", "classes")).alias("anchors"))
+    return docs.join(by_doc, "doc_id").select("doc_id", "text", "anchors")
 
 
 def spans_by_doc(marks: DataFrame) -> DataFrame:
