@@ -307,7 +307,7 @@ def detect_wasabi10(spark, d):
 
 @query(
     f"""SELECT block_num, position FROM feats WHERE {WASABI} AND mode_count + coalesce((SELECT sum(occurrences) FROM hist h, range(1, 12) r(l) WHERE h.block_num = feats.block_num
-    AND h.position = feats.position AND h.value BETWEEN (1 << CAST(l AS INT)) * 9000000 AND (1 << CAST(l AS INT)) * 11000000), 0) >= num_outputs - mode_count - 1""",
+    AND h.position = feats.position AND h.value BETWEEN CAST(pow(2, l) AS BIGINT) * 9000000 AND CAST(pow(2, l) AS BIGINT) * 11000000), 0) >= num_outputs - mode_count - 1""",
     "feats", "hist",
 )
 def detect_wasabi11(spark, d):
@@ -622,9 +622,9 @@ def trailing_zeros(spark, d):
     return _out(spark, d).select("block_num", "position", "txo_id", enc.ends_with_zeros(F.col("value"), 1).alias("z1"), enc.ends_with_zeros(F.col("value"), 2).alias("z2"))
 
 
-@query("SELECT p_partkey, CAST(floor(ln(0.1 / (CAST(p_partkey AS DOUBLE) / 100000000.0)) / ln(10.0)) AS BIGINT) AS zeros FROM part")
+@query("SELECT p_partkey, CAST(floor(ln(0.1 / (CAST(p_partkey + 1 AS DOUBLE) / 100000000.0)) / ln(10.0)) AS BIGINT) AS zeros FROM part")
 def price_zeros(spark, d):
-    return table(spark, d, "part").select("p_partkey", enc.order_of(0.1, F.col("p_partkey").cast("double")).cast("long").alias("zeros"))
+    return table(spark, d, "part").select("p_partkey", enc.order_of(0.1, (F.col("p_partkey") + 1).cast("double")).cast("long").alias("zeros"))
 
 
 @query("SELECT o_orderkey, (o_orderkey & 63) IN (37, 51) AS tagged FROM orders")
@@ -681,7 +681,7 @@ def blockfile_parse(spark, d):
     return _block_files(spark, d)
 
 
-@query("SELECT c_custkey, CAST(c_custkey - 1 AS BIGINT) AS num FROM customer")
+@query("SELECT c_custkey, CAST(c_custkey - (SELECT min(c_custkey) FROM customer) AS BIGINT) AS num FROM customer")
 def chain_link(spark, d):
     """A chain of customers by key, with short branches beside it."""
     h = lambda k: enc.sha256(F.concat(F.lit("b"), k.cast("string")).cast("binary"))
