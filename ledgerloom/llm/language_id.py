@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as segments: words between white space, longer ones in pieces of SEGMENT bytes. In each segment one GRU
+A text is read as segments: runs of letters, ASCII ones in lower case, in pieces of SEGMENT bytes at most. In each one GRU
 runs forwards and one backwards over the bytes; every position gets a softmax over the languages from both states. The
 network is trained in numpy by backpropagation through time on the loss of every position. A document's probabilities
-pool those of all positions that are letters: the softmax of their mean log-probabilities, sharpened by POOL. States
+pool those of all positions: the softmax of their mean log-probabilities, sharpened by POOL. States
 start anew with each segment, so equal segments have equal labels and a worker runs each distinct one once.
 
 Training takes the segments of SAMPLE documents at most, those of the least hashes of their ids, in one task. Null texts
@@ -31,7 +31,7 @@ from .wordcache import WordSums, in_chunks
 SAMPLE = 1200
 SEGMENTS = 12_000
 SEGMENT = 24
-EMBED, HIDDEN = 10, 14
+EMBED, HIDDEN = 8, 12
 EPOCHS, BATCH, RATE = 5, 256, 0.02
 #: Mean log-probabilities of positions are multiplied by this before the document's softmax.
 POOL = 6.0
@@ -41,9 +41,13 @@ LEAST_SCORE = 0.4
 LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Lower-cases A-Z; of ASCII only letters stay, all else becomes a space.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
 def segments(text: str | None) -> list[bytes]:
     out: list[bytes] = []
-    for w in (text or "").encode("utf-8", "surrogatepass").split():
+    for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split():
         if len(w) <= SEGMENT:
             out.append(w)
         else:
@@ -58,12 +62,6 @@ def padded(segs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in segs), np.uint8).reshape(len(segs), wide), n
 
 
-def reverse(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Each row's first n entries backwards, the rest in place."""
-    at = np.arange(x.shape[1])[None, :]
-    return np.take_along_axis(x, np.where(at < n[:, None], n[:, None] - 1 - at, at), 1)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -123,15 +121,6 @@ class BiGru:
         into[f"u{d}"], into[f"c{d}"], into[f"w{d}"] = du, dtable.sum(0), p["e"].T @ dtable
         into["e"] = into.get("e", 0) + dtable @ p[f"w{d}"].T
 
-    def logs(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log-probabilities (n, steps, languages) of every position."""
-        f, _ = self._run(x, "f", False)
-        b, _ = self._run(reverse(x, n), "b", False)
-        b = np.take_along_axis(b, np.where(np.arange(x.shape[1]) < n[:, None], n[:, None] - 1 - np.arange(x.shape[1]), np.arange(x.shape[1]))[:, :, None], 1)
-        z = np.concatenate((f, b), 2) @ self.p["o"] + self.p["q"]
-        z -= z.max(2, keepdims=True)
-        return z - np.log(np.exp(z).sum(2, keepdims=True))
-
     def step(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss over all positions and its gradients."""
         at = np.arange(x.shape[1])[None, :]
@@ -177,16 +166,47 @@ class BiGru:
                     self.p[name] -= rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)
 
     def sums(self, segs: list[bytes]) -> np.ndarray:
-        """For each segment the sums of log-probabilities over its letters, and how many those are."""
+        """For each segment the sums of log-probabilities over its positions, and how many those are. Segments of one
+        length run together, so none is padded and the way back is a plain reversal."""
         out = np.zeros((len(segs), len(self.langs) + 1), np.float32)
-        order = sorted(range(len(segs)), key=lambda i: len(segs[i]))
-        for i in range(0, len(order), 2048):
-            at = order[i : i + 2048]
-            x, n = padded([segs[k] for k in at])
-            letter = (((x | 32) >= 97) & ((x | 32) <= 122)) | (x >= 128)
-            letter &= np.arange(x.shape[1])[None, :] < n[:, None]
-            out[at, :-1] = (self.logs(x, n) * letter[:, :, None]).sum(1)
-            out[at, -1] = letter.sum(1)
+        lengths = np.fromiter(map(len, segs), np.int64, len(segs))
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1)).tolist() + [len(segs)]
+        for first, last in zip(edges, edges[1:], strict=False):
+            for i in range(first, last, 4096):
+                at = order[i : min(last, i + 4096)]
+                x = np.frombuffer(b"".join([segs[k] for k in at]), np.uint8).reshape(len(at), -1)
+                f, b = self._states(x, "f"), self._states(x[:, ::-1], "b")[::-1]
+                z = f @ self.p["o"][:HIDDEN] + b @ self.p["o"][HIDDEN:] + self.p["q"]
+                z -= z.max(2, keepdims=True)
+                z -= np.log(np.exp(z).sum(2, keepdims=True))
+                out[at, :-1] = z.sum(0)
+                out[at, -1] = x.shape[1]
+        return out
+
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """States after each byte (steps, n, HIDDEN), for scoring: the same as _run, with little memory."""
+        h, u = HIDDEN, self.p[f"u{d}"]
+        table = self.p["e"] @ self.p[f"w{d}"] + self.p[f"c{d}"]
+        gates, last = np.ascontiguousarray(u[:, : 2 * h]) * np.float32(0.5), np.ascontiguousarray(u[:, 2 * h :])
+        lead, rest = np.ascontiguousarray(table[:, : 2 * h]) * np.float32(0.5), np.ascontiguousarray(table[:, 2 * h :])
+        s = np.zeros((len(x), h), np.float32)
+        out = np.empty((x.shape[1], len(x), h), np.float32)
+        for t in range(x.shape[1]):
+            at = x[:, t]
+            g = s @ gates
+            g += lead[at]
+            np.tanh(g, out=g)
+            g += 1
+            g *= np.float32(0.5)
+            c = s @ last
+            c *= g[:, :h]
+            c += rest[at]
+            np.tanh(c, out=c)
+            s = s - c
+            s *= g[:, h:]
+            s += c
+            out[t] = s
         return out
 
     def dump(self) -> bytes:
