@@ -9,7 +9,8 @@ tokens are indexed in combinations of K; those of sets of over COMBINED tokens a
 Entries don't list all pairs of their classes. First every class of an entry is verified against the entry's centre, the
 class with most frequent tokens for its size, usually the text that the others are variants of. What links becomes
 components. Then only entries that still hold several components pair their classes across components, where sizes allow
-a link; those are verified too. Links within a component change nothing. Verifying compares whole sets, exactly.
+a link; those are verified too. Links within a component change nothing. Verifying first compares counts of tokens by
+leading bits, which bound the intersection, then whole sets, exactly.
 
 Frequent tokens are those of the first index with FREQUENT classes or more, MOST of them at most: which ones are counted as
 frequent changes costs, never results. Tokens are 64-bit hashes of shingles.
@@ -39,7 +40,7 @@ SIMILAR = 85
 K = 2
 #: Set size up to which frequent tokens are indexed in combinations; of larger sets there would be too many.
 COMBINED = 400
-FREQUENT = 100
+FREQUENT = 16
 MOST = 50_000
 
 _rng = np.random.default_rng(31)
@@ -79,6 +80,23 @@ def links(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
     return both > 0 and 100 * both >= similar * (len(a) + len(b) - both)
 
 
+def signature(t: np.ndarray) -> bytes:
+    """Counts of sorted tokens by their leading bits, 8 to 16 tokens in each on average: a few hundredths of the set."""
+    k = max(0, len(t).bit_length() - 4)
+    at = (t >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(t), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << k), 65535).astype("<u2").tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, similar: int = SIMILAR) -> bool:
+    """False only if sets of these signatures and sizes cannot link: no bits in common hold more than the lesser count."""
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    if x.max(initial=0) == 65535 or y.max(initial=0) == 65535:
+        return True
+    n = min(len(x), len(y))
+    most = int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
+    return 100 * most >= similar * (na + nb - most)
+
+
 def ordered(all_tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     """Rare tokens, then frequent ones, and how many are rare. Both arguments are sorted."""
     if not len(frequent):
@@ -114,8 +132,8 @@ def class_of(raw: bytes, salt: int) -> tuple[int, bytes]:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, id, n_shingles, first): id is the number of the document's words, null where there are none; first are the
-    tokens of its prefix by hash alone. Should two word sequences get one number, all are numbered anew, with another salt."""
+    """(doc_id, id, n_shingles, first, sign): id is the number of the document's words, null where there are none; first are
+    the tokens of its prefix by hash alone, sign its signature. Should two word sequences get one number, all are numbered anew, with another salt."""
     for salt in count():
 
         def run(batches: Iterator[pd.DataFrame], salt: int = salt) -> Iterator[pd.DataFrame]:
@@ -124,11 +142,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, int]:
                 for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
                     raw = normal(text)
                     t = tokens(raw)
-                    out.append((doc_id, *(class_of(raw, salt) if raw else (None, None)), len(t), t[: len(t) - needed(len(t)) + 1].view(np.int64)))
+                    out.append((doc_id, *(class_of(raw, salt) if raw else (None, None)), len(t), t[: len(t) - needed(len(t)) + 1].view(np.int64), signature(t)))
                 ids = pd.array([x[1] for x in out], "Int64")
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "id": ids, "words": [x[2] for x in out], "n_shingles": [x[3] for x in out], "first": [x[4] for x in out]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "id": ids, "words": [x[2] for x in out], "n_shingles": [x[3] for x in out], "first": [x[4] for x in out], "sign": [x[5] for x in out]})
 
-        rows = settle(docs.mapInPandas(run, "doc_id long, id long, words binary, n_shingles long, first array<long>"))
+        rows = settle(docs.mapInPandas(run, "doc_id long, id long, words binary, n_shingles long, first array<long>, sign binary"))
         twice = rows.where("id is not null").groupBy("id").agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x <> y")
         if not twice.take(1):
             return rows, salt
@@ -167,17 +185,29 @@ def _index(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key long, id long, n int, often int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; sets has (id, tokens)."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, a settled frame. signs has (id, rep, n, sign) of classes. Pairs whose signatures rule a
+    link out go first; whole sets are made and sent for what is left only."""
+    of = lambda c: signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}"))
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = [may_link(*x) for x in zip(batch["sa"], batch["sb"], batch["na"].tolist(), batch["nb"].tolist(), strict=True)]
+            yield batch.loc[ok, ["a", "b"]]
+
+    left = settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(sift, "a long, b long"))
+    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(signs.select("id", "rep"), "id")
+    sets = settle(token_sets(docs.join(settle(ids.select("id", F.col("rep").alias("doc_id"))), "doc_id")))
+    both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["ta"], batch["tb"], strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    out = settle(both.mapInPandas(run, "a long, b long"))
+    unsettle(left, sets)
+    return out
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
@@ -198,7 +228,7 @@ def join(docs: DataFrame) -> DataFrame:
     """One row for each id: doc_id, n_shingles, rep (the least id of the same words) and component_id."""
     known = one_per_id(docs)
     rows, salt = classes(known)
-    reps = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"))
+    signs = settle(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sign").alias("sign")))
     first = rows.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
     often = np.sort(np.asarray([r.key for r in first.orderBy(F.desc("c"), "key").limit(MOST).collect()], np.int64).view(np.uint64))
     index = settle(_index(known, often, salt))
@@ -210,9 +240,7 @@ def join(docs: DataFrame) -> DataFrame:
     centre = entry.groupBy("key").agg(F.max_by("id", best).alias("c"), F.max_by("n", best).alias("nc"))
     star = entry.join(centre, "key").where((F.col("id") != F.col("c")) & fits("n", "nc"))
     star = settle(star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-    wanted = entry.select("id").distinct().join(reps, "id").select("id", F.col("rep").alias("doc_id"))
-    sets = settle(token_sets(known.join(wanted, "doc_id")))
-    edges = settle(verified(star, sets))
+    edges = verified(star, signs, known)
     label = components(edges)
     # classes of an entry that are in different components still
     now = entry.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -221,12 +249,12 @@ def join(docs: DataFrame) -> DataFrame:
     x = mixed.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
-    more = settle(verified(across.join(star, ["a", "b"], "left_anti"), sets))
+    more = verified(across.join(star, ["a", "b"], "left_anti"), signs, known)
     if more.take(1):
         label = components(edges.unionByName(more))
-    unsettle(sets, mixed, entry)
+    unsettle(mixed, entry)
     # numbers of classes to ids of documents: the least of a component
-    named = reps.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = signs.select("id", "rep").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "component").select("id", "rep", "component_id")
     return rows.select("doc_id", "id", "n_shingles").join(final, "id", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "doc_id").alias("component_id"))
