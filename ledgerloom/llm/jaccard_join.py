@@ -42,6 +42,8 @@ K = 2
 COMBINED = 400
 FREQUENT = 16
 MOST = 50_000
+#: Ids of documents, 16 bytes each, that are sent to all executors to pick texts; more are joined by shuffle.
+SENT = 500_000
 
 _rng = np.random.default_rng(31)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -197,7 +199,8 @@ def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
 
     left = settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(sift, "a long, b long"))
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(signs.select("id", "rep"), "id")
-    sets = settle(token_sets(docs.join(settle(ids.select("id", F.col("rep").alias("doc_id"))), "doc_id")))
+    ids = settle(ids.select("id", F.col("rep").alias("doc_id")))
+    sets = settle(token_sets(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id")))
     both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +209,7 @@ def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.loc[ok, ["a", "b"]]
 
     out = settle(both.mapInPandas(run, "a long, b long"))
-    unsettle(left, sets)
+    unsettle(left, ids, sets)
     return out
 
 
@@ -231,6 +234,8 @@ def join(docs: DataFrame) -> DataFrame:
     signs = settle(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sign").alias("sign")))
     first = rows.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
     often = np.sort(np.asarray([r.key for r in first.orderBy(F.desc("c"), "key").limit(MOST).collect()], np.int64).view(np.uint64))
+    whole, rows = rows, settle(rows.select("doc_id", "id", "n_shingles"))
+    unsettle(whole)
     index = settle(_index(known, often, salt))
     several = index.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
     entry = settle(index.join(several, "key").distinct())  # copies fall together here
@@ -257,7 +262,7 @@ def join(docs: DataFrame) -> DataFrame:
     named = signs.select("id", "rep").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "component").select("id", "rep", "component_id")
-    return rows.select("doc_id", "id", "n_shingles").join(final, "id", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(final, "id", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
