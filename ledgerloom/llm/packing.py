@@ -9,13 +9,18 @@ so a task's memory is bounded however many documents there are; one document fil
 
 Null and empty texts are one end id. Rows without an id are left out; of rows that share an id the greatest text counts
 once. An empty table gives an empty result. Other columns are ignored.
+
+Ids are those that the `tokenizers` library gives for the file. Where the file's kind allows it, its merges run in a faster
+compiled encoder; tests hold both against each other.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,42 +36,75 @@ END = 0
 QUADRATIC = 512
 BIN_ROWS = 2000
 #: Distinct chunks whose ids a worker keeps.
-KEPT = 250_000
+KEPT = 400_000
 
 #: A byte-level tokenizer of this family never joins characters over a single space between two that aren't space.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: Other white space than a space and a line feed.
+SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+def chunks(text: str) -> list[str]:
+    """The text cut at those spaces; each but the first lacks the space before it."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in SPACES):
+        return BREAK.split(text)
+    return text.split(" ")
+
+
+def fast_encoder(path: str):
+    """The merges of a tokenizer file as a compiled encoder of the same ids, which is some times faster on short strings, or
+    None where the file is of another kind: it must be byte-level BPE with the usual splitting, whose ids are in order of
+    merges."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+    merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    ids = [model["vocab"].get(m.replace(" ", "")) for m in merged]
+    if None in ids or ids != sorted(ids):
+        return None
+    names = [*(n for n in model["vocab"] if len(n) == 1), *(m.replace(" ", "") for m in merged)]
+    ranks = {bytes(letter[c] for c in n): model["vocab"][n] for n in names}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
 
 PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts; chunks between single spaces are looked up once."""
+    """Little-endian 32-bit ids of texts, as the tokenizer of a file gives them; chunks are looked up once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.fast = fast_encoder(path)
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.fast:
+            return [array("I", self.fast(t)).tobytes() for t in texts]
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        lists = []
-        for t in texts:
-            first, *rest = BREAK.split(t)
-            lists.append([first, *(" " + x for x in rest)])
-        known = self.known
-        new = list({c for chunks in lists for c in chunks if c not in known})
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list({c for chunks in lists for c in chunks})
-        known.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join([known[c] for c in chunks]) for chunks in lists]
-        if len(known) > KEPT:
-            known.clear()
-        return out
+        lists = [chunks(t) for t in texts]
+        firsts = self.encode([x[0] for x in lists])
+        new = set().union(*(x[1:] for x in lists)).difference(self.known)
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
+            new = set().union(*(x[1:] for x in lists))
+        order = list(new)
+        self.known.update(zip(order, self.encode([" " + x for x in order]), strict=True))
+        find = self.known.__getitem__
+        return [b"".join([first, *map(find, x[1:])]) for first, x in zip(firsts, lists, strict=True)]
 
 
 def cost(n: int) -> float:

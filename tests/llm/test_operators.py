@@ -164,6 +164,24 @@ def test_packing(docs, odd, empty):
     assert packing.digest(empty, tokenizer_path()).count() == 0
 
 
+def test_fast_encoder(docs):
+    """Chunked ids against whole texts by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    rnd = random.Random(6)
+    marks = ["a", "Ab", "é", "1", "23", ".", "'s", "'", "!?", " ", " ", "  ", "\n", " \n ", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85", "\x00", "日本", "😀", "<|endoftext|>", "_", "e\u0301", "\u200b", "ſ"]
+    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
+    texts += [r.text for r in docs.select("text").collect()]
+    ids = packing.Ids(tokenizer_path())
+    assert ids.fast is not None
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert ids.of(texts) == want
+    ids.fast, ids.known = None, {}
+    assert ids.of(texts) == want
+
+
 def test_secret_scan(docs, odd, empty):
     for df in (docs, odd):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
