@@ -405,7 +405,7 @@ def test_pipeline(spark, sf):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     stages = dict(corpus_pipeline.STAGES)
     rows = docs.toPandas()
-    kept = stages["language_id"](spark, docs, sf).localCheckpoint() if False else corpus_pipeline.settle(stages["language_id"](spark, docs, sf))
+    kept = corpus_pipeline.settle(stages["language_id"](spark, docs, sf))
     named = language_id.digest(docs).toPandas().set_index("doc_id")
     want = {d for d in rows.doc_id if named.lang_pred[d] != "und" and named.score[d] >= language_id.LEAST_SCORE}
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
