@@ -12,6 +12,7 @@ from ..functions import encoding as enc
 from ..functions.scripts import functions as script_functions
 from ..operators import chain, clustering, colored, extract, features, graph, merge, mixing, resolve, scan, series
 from ..operators import transactions as tx
+from ..operators.storage import settle
 from ..sources import ledger_view as view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,8 +495,9 @@ def cluster_num_cc(spark, d):
     "und", "nodes",
 )
 def node_features(spark, d):
-    edges = _edges(spark, d)
-    size = features.cluster_size(resolve.node_table(view.created(spark, d)), _alias(spark, d))
+    alias = _alias(spark, d)
+    edges = settle(graph.transaction_edges(_in(spark, d, one_per_tx=True, alias=alias), _out(spark, d, alias=alias)))  # read by three aggregates
+    size = features.cluster_size(resolve.node_table(view.created(spark, d)), alias)
     out = features.assemble(size, features.degree(graph.undirected_edges(edges)), features.in_features(edges), features.out_features(edges))
     return out.select("alias", "degree", "degree_in", "degree_out", "total_received", "total_sent", "cluster_size")
 
