@@ -427,3 +427,17 @@ def test_registered():
     names = set(queries())
     assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(oracle_sql()) <= names
     assert pd.Series(sorted(names)).is_unique
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql_forms(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
