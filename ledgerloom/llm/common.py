@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..operators.storage import settle, shared_dir, unsettle
 
-__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "one_per_id", "running", "settle", "shared_dir", "table", "texts", "unsettle"]
+__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "one_per_id", "running", "settle", "shared_dir", "small_batches", "table", "texts", "unsettle"]
 
 #: White space of the word rules: a space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a bucket of a running sum.
 BUCKET_ROWS = 20_000
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,14 @@ def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed({v: k for k, v in back.items()}), back
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python BATCH_ROWS at a time at most from now on in this session: texts can be long, and workers share an
+    executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text), one row for each id: rows without an id are left out, of rows that share an id the
     greatest text stays (so repeated rows count once), null texts become empty."""
@@ -39,6 +48,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def one_per_id(docs: DataFrame) -> DataFrame:
     """texts() with one row for each id. Ids that occur once, nearly all, take no part in the choice of a text."""
+    small_batches(docs.sparkSession)
     rows = texts(docs)
     shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id")
     if not shared.take(1):

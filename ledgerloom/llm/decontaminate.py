@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside
+from .common import aside, small_batches
 
 MIN_WORDS = 13
 #: Hits of at least one in so many words contaminate.
@@ -159,6 +159,7 @@ def match(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFram
     """docs with n_words, hits (merged [start, end) pairs of words), items (ids with occurring windows, sorted as strings)
     and longest (words of the longest match)."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.drop(*(f.name for f in ADDED))
     schema = T.StructType([*out.schema.fields, *ADDED])
     for f in ADDED:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside
+from .common import aside, small_batches
 from .quality_model import remainder
 from .wordcache import WordSums, in_chunks
 
@@ -257,6 +257,7 @@ def fit(docs: DataFrame) -> BiGru | None:
 
 def label(docs: DataFrame, net: BiGru | None) -> DataFrame:
     """docs with lang_pred and score."""
+    small_batches(docs.sparkSession)
     rest = docs.drop("lang_pred", "score")
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(net)

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .wordcache import WordSums, in_chunks
 
 #: Labelled documents that training takes at most.
@@ -119,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
     """docs with the probability of label 1."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # BUCKETS numbers
     rest = docs.drop(name)
 
