@@ -16,12 +16,12 @@ compiled encoder; tests hold both against each other.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -107,39 +107,31 @@ class Ids:
         return [b"".join([first, *map(find, x[1:])]) for first, x in zip(firsts, lists, strict=True)]
 
 
+@lru_cache(2)
+def loaded(path: str) -> Ids:
+    """One for each worker: its chunks stay known from task to task."""
+    return Ids(path)
+
+
 def cost(n: int) -> float:
     return n + n * n / QUADRATIC
 
 
 def assign(sizes: list[int], limit: int = LIMIT) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length). sizes are under limit; every id lies in exactly one piece."""
-    total = sum(sizes)
-    n = -(-total // limit)
+    n = -(-sum(sizes) // limit)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    room, spent = [limit] * n, [0.0] * n
-    heap = [(0.0, k) for k in range(n)]
-    left = []
+    room, spent, left = np.full(n, limit), np.zeros(n), []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        passed, size = [], sizes[i]
-        while heap:
-            c, k = heapq.heappop(heap)
-            if room[k] >= size:
-                out[k].append((i, 0, size))
-                room[k] -= size
-                spent[k] = c + cost(size)
-                if room[k]:
-                    passed.append((spent[k], k))
-                break
-            passed.append((c, k))
-            if len(passed) > 64:  # the roomiest of all is tried next; else the piece is cut
-                heap_room = max(heap, key=lambda x: room[x[1]], default=None)
-                if heap_room is None or room[heap_room[1]] < size:
-                    left.append(i)
-                    break
-        else:
+        fits = room >= sizes[i]
+        k = int(np.where(fits, spent, np.inf).argmin())
+        if not fits[k]:
             left.append(i)
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        out[k].append((i, 0, sizes[i]))
+        room[k] -= sizes[i]
+        spent[k] += cost(sizes[i])
+    room = room.tolist()
     roomy = sorted((k for k in range(n) if room[k]), key=lambda k: -room[k])
     for i in left:
         at = 0
@@ -159,7 +151,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     they may be cut again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(path)
+        ids = loaded(path)
         for batch in batches:
             for _, part in batch.groupby(batch["text"].str.len().cumsum() // 1_000_000):
                 rows = []
