@@ -8,8 +8,8 @@ tokens are indexed in combinations of K; those of sets of over COMBINED tokens a
 
 Entries don't list all pairs of their classes. First every class of an entry is verified against the entry's centre, the
 class with most frequent tokens for its size, usually the text that the others are variants of. What links becomes
-components. Then only entries that still hold several components pair their classes across components, where sizes allow
-a link; those are verified too. Links within a component change nothing. Verifying first compares counts of tokens by
+components. Then only entries that still hold several components compare their classes across components, where sizes
+allow a link: small entries by pairs, large ones in blocks (linked_blocks). Links within a component change nothing. Verifying first compares counts of tokens by
 leading bits, which bound the intersection, then whole sets, exactly.
 
 Frequent tokens are those of the first index with FREQUENT classes or more, MOST of them at most: which ones are counted as
@@ -42,6 +42,9 @@ K = 2
 COMBINED = 400
 FREQUENT = 16
 MOST = 50_000
+#: Classes of an entry up to which its pairs are made as rows, and classes of a block for larger ones.
+PAIRED = 8
+BLOCK = 512
 #: Ids of documents, 16 bytes each, that are sent to all executors to pick texts; more are joined by shuffle.
 SENT = 500_000
 
@@ -213,6 +216,67 @@ def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the links between two blocks (side 0 and 1) of token sets whose components differ: products of incidence
+    matrices give all intersections."""
+    sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
+    size = np.asarray([len(t) for t in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = often > 1
+    place = np.cumsum(kept) - 1
+    row = np.repeat(np.arange(len(sets)), size)[kept[column]]
+    column = place[column[kept[column]]]
+    side, part = rows["side"].to_numpy(), rows["component"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(kept.sum()), 8192):
+        here = (column >= first) & (column < first + 8192)
+        table = np.zeros((len(sets), 8192), np.float32)
+        table[row[here], column[here] - first] = 1
+        both += table[left] @ table[right].T
+    both = np.rint(both).astype(np.int64)
+    ok = (100 * both >= SIMILAR * (size[left][:, None] + size[right][None, :] - both)) & (both > 0) & (part[left][:, None] != part[right][None, :])
+    root = {c: c for c in part.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    ids, out = rows["id"].tolist(), []
+    for i, j in np.argwhere(ok).tolist():
+        x, y = find(int(part[left[i]])), find(int(part[right[j]]))
+        if x != y:
+            root[x] = y
+            out.append((ids[left[i]], ids[right[j]]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of classes that meet in entries (key, id, component, m) of many classes.
+    Entries of one family have nearly the same classes, so pairs aren't made by entry: every class has a home, its largest
+    entry; homes that meet in an entry are compared once, in blocks of BLOCK classes, without a row for each pair."""
+    home = settle(mixed.groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("home"), F.first("component").alias("component")))
+    blocks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    member = settle(home.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    meets = mixed.select("key", "id").join(home.select("id", "home"), "id").select("key", "home").distinct()
+    pairs = meets.join(meets.select("key", F.col("home").alias("other")), "key").where("home <= other").select("home", "other").distinct()
+    pairs = pairs.join(blocks, "home").join(blocks.select(F.col("home").alias("other"), F.col("blocks").alias("more")), "other")
+    each = pairs.select("home", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "more").select("home", "other", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("j"))
+    each = each.where("home < other or i <= j").select("home", "i", "other", "j")
+    one = lambda h, b, side: each.select("home", "i", "other", "j", F.col(h).alias("h"), F.col(b).alias("b"), F.lit(side).alias("side"))
+    sides = one("home", "i", 0).unionByName(one("other", "j", 1))
+    sets = settle(token_sets(docs.join(_sent(signs.select("id", F.col("rep").alias("doc_id")).join(home.select("id"), "id")), "doc_id")))
+    rows = sides.join(member.select(F.col("home").alias("h"), F.col("block").alias("b"), "id", "component"), ["h", "b"]).join(sets, "id")
+    return rows.select("home", "i", "other", "j", "side", "id", "component", "tokens").groupBy("home", "i", "other", "j").applyInPandas(block_links, "a long, b long")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids as a settled frame, broadcast while it has SENT rows at most."""
+    ids = settle(ids)
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def token_sets(docs: DataFrame) -> DataFrame:
     """(id, tokens): the sorted token sets, as 64-bit numbers, of docs (id, text)."""
 
@@ -251,10 +315,12 @@ def join(docs: DataFrame) -> DataFrame:
     now = entry.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     mixed = settle(now.join(split, "key"))
-    x = mixed.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    mixed = settle(mixed.join(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key"))
+    few = mixed.where(F.col("m") <= PAIRED)
+    x = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
-    more = verified(across.join(star, ["a", "b"], "left_anti"), signs, known)
+    more = settle(verified(across.join(star, ["a", "b"], "left_anti"), signs, known).unionByName(linked_blocks(mixed.where(F.col("m") > PAIRED), signs, known)))
     if more.take(1):
         label = components(edges.unionByName(more))
     unsettle(mixed, entry)

@@ -231,14 +231,16 @@ def test_jaccard_join_chains_and_frequent_tokens(spark, monkeypatch):
     texts = {}
     for k in range(80):
         ws = list(base)
-        for _ in range(rnd.randint(0, 4)):
+        for _ in range(rnd.randint(0, 6)):
             ws[rnd.randrange(len(ws))] = f"v{rnd.randrange(10**6)}"
         texts[k] = " ".join(ws)
     for k in range(80, 140):  # all hold a frequent passage
         texts[k] = " ".join([*base[:50], *(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randint(5, 200)))])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    for frequent, combined in ((100, 400), (5, 400), (5, 60), (2, 110)):
+    for frequent, combined, paired, block in ((100, 400, 8, 512), (5, 400, 2, 7), (5, 60, 100, 9), (2, 110, 1, 16)):
         monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+        monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
         monkeypatch.setattr(jaccard_join, "COMBINED", combined)
         assert result(jaccard_join.digest(df), "n_shingles", "component_id") == brute.jaccard(texts)
 
