@@ -252,10 +252,42 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def block_sift(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pairs between two blocks whose signatures allow a link, across components; where those are most of a family, one
+    row without a pair: whole sets are compared there."""
+    n, part = rows["n"].to_numpy(), rows["component"].to_numpy()
+    side, ids = rows["side"].to_numpy(), rows["id"].to_numpy()
+    by_length: dict[int, list[int]] = {}
+    signs = [np.frombuffer(x, "<u2").astype(np.int32) for x in rows["sign"]]
+    for k, x in enumerate(signs):
+        by_length.setdefault(len(x), []).append(k)
+    found = []
+    for p, xs in by_length.items():
+        for q, ys in by_length.items():
+            left, right = np.asarray([k for k in xs if side[k] == 0], np.int64), np.asarray([k for k in ys if side[k] == 1], np.int64)
+            if not len(left) or not len(right) or max(p, q) > 2 * min(p, q):  # sizes that fit differ by less
+                continue
+            folded = lambda at: np.stack([signs[k].reshape(min(p, q), -1).sum(1) for k in at])  # noqa: B023, E731
+            x, y = folded(left), folded(right)
+            for i, k in enumerate(left.tolist()):
+                most = np.minimum(x[i][None, :], y).sum(1)
+                most = np.where((x[i].max() >= 65535) | (y.max(1) >= 65535), np.minimum(n[k], n[right]), most)
+                ok = (100 * most >= SIMILAR * (n[k] + n[right] - most)) & (part[right] != part[k])
+                found += [(ids[k], b) for b in ids[right[ok]].tolist()]
+    if len(found) > 4 * len(rows):
+        found = [(None, None)]
+    at = [int(rows[c].iloc[0]) for c in ("home", "i", "other", "j")]
+    out = pd.DataFrame({"a": pd.array([x for x, _ in found], "Int64"), "b": pd.array([y for _, y in found], "Int64")})
+    for c, v in zip(("home", "i", "other", "j"), at, strict=True):
+        out[c] = v
+    return out[["home", "i", "other", "j", "a", "b"]]
+
+
 def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links that join the components of classes that meet in entries (key, id, component, m) of many classes.
     Entries of one family have nearly the same classes, so pairs aren't made by entry: every class has a home, its largest
-    entry; homes that meet in an entry are compared once, in blocks of BLOCK classes, without a row for each pair."""
+    entry; homes that meet in an entry are compared once, in blocks of BLOCK classes, by signatures first. The few pairs
+    that those leave are verified; blocks that they leave dense are compared by whole sets, without a row for each pair."""
     home = settle(mixed.groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("home"), F.first("component").alias("component")))
     blocks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     member = settle(home.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
@@ -265,10 +297,13 @@ def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFr
     each = pairs.select("home", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "more").select("home", "other", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("j"))
     each = each.where("home < other or i <= j").select("home", "i", "other", "j")
     one = lambda h, b, side: each.select("home", "i", "other", "j", F.col(h).alias("h"), F.col(b).alias("b"), F.lit(side).alias("side"))
-    sides = one("home", "i", 0).unionByName(one("other", "j", 1))
-    sets = settle(token_sets(docs.join(_sent(signs.select("id", F.col("rep").alias("doc_id")).join(home.select("id"), "id")), "doc_id")))
-    rows = sides.join(member.select(F.col("home").alias("h"), F.col("block").alias("b"), "id", "component"), ["h", "b"]).join(sets, "id")
-    return rows.select("home", "i", "other", "j", "side", "id", "component", "tokens").groupBy("home", "i", "other", "j").applyInPandas(block_links, "a long, b long")
+    task = ["home", "i", "other", "j"]
+    sides = one("home", "i", 0).unionByName(one("other", "j", 1)).join(member.select(F.col("home").alias("h"), F.col("block").alias("b"), "id", "component"), ["h", "b"]).drop("h", "b")
+    sifted = settle(sides.join(signs.select("id", "n", "sign"), "id").groupBy(*task).applyInPandas(block_sift, "home long, i long, other long, j long, a long, b long"))
+    some = verified(sifted.where("a is not null").select("a", "b").distinct(), signs, docs)
+    dense = settle(sides.join(sifted.where("a is null").select(*task), task, "left_semi"))
+    sets = settle(token_sets(docs.join(_sent(signs.select("id", F.col("rep").alias("doc_id")).join(dense.select("id").distinct(), "id")), "doc_id")))
+    return some.unionByName(dense.join(sets, "id").groupBy(*task).applyInPandas(block_links, "a long, b long"))
 
 
 def _sent(ids: DataFrame) -> DataFrame:
