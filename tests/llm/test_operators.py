@@ -268,6 +268,18 @@ def test_sharding_keeps_groups(spark):
     assert (got.groupby(got.doc_id % 150).shard.nunique() > 1).sum() <= 30 + 39
 
 
+def test_sharding_takes_few_shards(spark):
+    """Groups from some rows up to several shards, among rows that nothing links: each takes as few shards as it needs."""
+    sizes = [500, 180, 90, 60, *range(2, 50)]  # 100 rows fit a shard
+    names = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    names += [f"lone {k}" for k in range(4000 - len(names))]
+    df = spark.createDataFrame([(k, name.ljust(84, "x")) for k, name in enumerate(names)], "doc_id long, text string").repartition(4)
+    got = sharding.shard(df).toPandas()
+    assert len(got) == 4000 and (got.groupby("shard")["size"].sum() == 100 * 100).all()
+    spread = got.groupby(got.doc_id.map(lambda k: names[k])).shard.nunique()
+    assert all(spread[f"group {g}"] == -(-n // 100) for g, n in enumerate(sizes))
+
+
 def test_quality_rules(docs, odd, empty):
     for df in (docs, odd):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
