@@ -1,7 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-A word's features are hashes of the word and of its character n-grams of 3 to 5, between marks of its ends. Each hash has
-a learned vector; a word is the mean of its features' vectors, a document the mean of its words'. A softmax gives the
+A word's features are hashes of the word and of its character n-grams of 3 to 5, between marks of its ends. Words of over
+LONGEST bytes (texts without spaces are one) are read in consecutive pieces that count like words; pieces overlap, so that
+every n-gram of the word is in one. Each hash has a learned vector; a word is the mean of its features' vectors, a document
+the mean of its words'. A softmax gives the
 probabilities of the labels. Vectors and output are trained together by stochastic gradient descent in numpy, on a sample
 of SAMPLE labelled documents at most, those of the least hashes of their ids. Training runs in one task over that sample;
 what reaches the driver is one number for each hash bucket. Scoring runs over batches without a shuffle: the document's
@@ -34,6 +36,10 @@ EPOCHS = 6
 #: Step of each coordinate, divided by the root of its squared gradients so far.
 RATE = 0.05
 GRAMS = (3, 5)
+#: Bytes of the longest word that is read as one, and of a piece of a longer one.
+LONGEST = 64
+#: Words whose features are looked up together.
+AT_ONCE = 4096
 #: The bucket of word bigrams of one word twice, which tell repetition whatever the word.
 SAME = BUCKETS - 1
 
@@ -42,26 +48,41 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def features(word: bytes) -> list[int]:
-    """Hash buckets of a word; of words over 64 bytes, the n-grams are those of both ends, and the word itself counts whole."""
-    b = b"<" + (word if len(word) <= 64 else word[:32] + word[-32:]) + b">"
+def units(ws: list[bytes]) -> list[bytes]:
+    """The words, those over LONGEST bytes as pieces, which begin with a space to tell them from words."""
+    if max(map(len, ws), default=0) <= LONGEST:
+        return ws
+    out: list[bytes] = []
+    for w in ws:
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            b, shared = b"<" + w + b">", GRAMS[1] - 1
+            out += [b" " + b[i : i + LONGEST] for i in range(0, len(b) - shared, LONGEST - shared)]
+    return out
+
+
+def features(unit: bytes) -> list[int]:
+    """Hash buckets of a word or piece."""
+    b = unit[1:] if unit.startswith(b" ") else b"<" + unit + b">"
     grams = {b[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(b) - n + 1)}
-    grams.add(b"=" + word)
+    grams.add(b"=" + unit)
     return [zlib.crc32(g) % SAME for g in grams]
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their weights: those of words sum to 1, and SAME has the share of words that repeat the one before."""
     ws = words(text)
+    read = units(ws)
     counts: dict[bytes, int] = {}
-    for w in ws:
+    for w in read:
         counts[w] = counts.get(w, 0) + 1
     total: dict[int, float] = {}
     if same := sum(map(eq, ws, ws[1:])):
         total[SAME] = same / len(ws)
     for w, c in counts.items():
         found = features(w)
-        share = c / (len(ws) * len(found))
+        share = c / (len(read) * len(found))
         for f in found:
             total[f] = total.get(f, 0.0) + share
     return np.fromiter(total, np.int64, len(total)), np.fromiter(total.values(), np.float32, len(total))
@@ -127,20 +148,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         delta, bias = sent.value
 
-        def rows(new: list[bytes]) -> np.ndarray:
+        def means(new: list[bytes]) -> np.ndarray:
             found = [features(w) for w in new]
             flat = delta[np.fromiter((f for fs in found for f in fs), np.int64)]
             starts = np.cumsum([0, *(len(fs) for fs in found)])[:-1]
             return (np.add.reduceat(flat.astype(np.float64), starts) / [len(fs) for fs in found])[:, None]
 
+        def rows(new: list[bytes]) -> np.ndarray:
+            return np.concatenate([means(new[i : i + AT_ONCE]) for i in range(0, len(new), AT_ONCE)])
+
         sums = WordSums(rows, 1)
         for batch in batches:
             out: list[float] = []
             for part in in_chunks(t if isinstance(t, str) else None for t in batch["text"]):
                 lists = [words(t) for t in part]
-                n = np.maximum([len(ws) for ws in lists], 1)
+                read = [units(ws) for ws in lists]
+                n, of = (np.maximum([len(x) for x in some], 1) for some in (read, lists))
                 same = [sum(map(eq, ws, ws[1:])) for ws in lists]
-                z = (sums.add(lists)[:, 0] + delta[SAME] * np.asarray(same)) / n + bias
+                z = sums.add(read)[:, 0] / n + delta[SAME] * np.asarray(same) / of + bias
                 out += (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
             yield batch.assign(**{name: out})
 

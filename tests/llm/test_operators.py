@@ -313,6 +313,25 @@ def test_quality_model(spark, odd, empty):
         assert quality_model.digest(empty, labelled).count() == 0
 
 
+def test_quality_model_reads_long_words_whole(spark):
+    """Texts without spaces of equal ends: only the middle tells the labels apart."""
+    rnd = random.Random(7)
+    text = lambda letters: "日本" * 20 + "".join(rnd.choice(letters) for _ in range(rnd.randint(80, 900))) + "テキ" * 20
+    rows = [(k, text("春夏秋冬" if k % 2 else "東西南北"), k % 2) for k in range(120)]
+    b = b"<" + rows[0][1].encode() + b">"
+    read = quality_model.units([rows[0][1].encode()])
+    seen = {x for u in read for x in quality_model.features(u)}
+    assert all(zlib.crc32(b[i : i + n]) % quality_model.SAME in seen for n in (3, 4, 5) for i in range(len(b) - n + 1))
+    assert max(map(len, read)) <= quality_model.LONGEST + 1
+    delta, bias = model = quality_model.train([t for _, t, _ in rows[:80]], [y for *_, y in rows[:80]])
+    df = spark.createDataFrame(rows[80:], "doc_id long, text string, y int")
+    got = quality_model.score(df, model).toPandas()
+    assert ((got.score >= 0.5) == (got.y == 1)).all()
+    for t, score in zip(got.text, got.score, strict=True):
+        ids, weights = quality_model.vector(t)
+        assert abs(score - 1 / (1 + np.exp(-(weights @ delta[ids] + bias)))) < 1e-4
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.digest(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
