@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import components, one_per_id, settle, unsettle
 from .windows import powers
 
+#: Words of a shingle and similarity as a fraction, in hundredths, unless a caller says otherwise.
 SHINGLE = 4
-#: Similarity as a fraction, in hundredths.
 SIMILAR = 85
 #: Tokens in a combination of frequent ones.
 K = 2
@@ -111,17 +111,17 @@ def ordered(all_tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, i
     return np.concatenate((all_tokens[~often], all_tokens[often])), int((~often).sum())
 
 
-def entries(all_tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, float]:
-    """Index keys of one set, and the share of its tokens that are frequent. Sets that link differ in size by 15 % at most,
+def entries(all_tokens: np.ndarray, frequent: np.ndarray, similar: int = SIMILAR) -> tuple[np.ndarray, float]:
+    """Index keys of one set, and the share of its tokens that are frequent. Sets that link differ in size by 100 - similar % at most,
     so sets around COMBINED tokens, which are indexed in both ways, meet those on either side."""
     n = len(all_tokens)
     order, rare = ordered(all_tokens, frequent)
-    prefix = order[: min(n, n - needed(n) + K)]
+    prefix = order[: min(n, n - needed(n, similar) + K)]
     singles, often = prefix[: min(rare, len(prefix))], prefix[rare:]
     keys = [singles]
-    if K <= n and 100 * n >= SIMILAR * COMBINED or n < K:
+    if K <= n and 100 * n >= similar * COMBINED or n < K:
         keys.append(often)
-    if len(often) >= K and SIMILAR * n <= 100 * COMBINED:
+    if len(often) >= K and similar * n <= 100 * COMBINED:
         pairs = np.asarray(list(combinations(range(len(often)), K)))
         mixed = np.zeros(len(pairs), np.uint64)
         for c in range(K):
@@ -136,7 +136,7 @@ def class_of(raw: bytes, salt: int) -> tuple[int, bytes]:
     return int.from_bytes(hashlib.blake2b(full, digest_size=8, salt=salt.to_bytes(4, "little")).digest(), "little", signed=True), full
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, int]:
+def classes(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, int]:
     """(doc_id, id, n_shingles, first, sign): id is the number of the document's words, null where there are none; first are
     the tokens of its prefix by hash alone, sign its signature. Should two word sequences get one number, all are numbered anew, with another salt."""
     for salt in count():
@@ -146,8 +146,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, int]:
                 out = []
                 for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
                     raw = normal(text)
-                    t = tokens(raw)
-                    out.append((doc_id, *(class_of(raw, salt) if raw else (None, None)), len(t), t[: len(t) - needed(len(t)) + 1].view(np.int64), signature(t)))
+                    t = tokens(raw, shingle)
+                    out.append((doc_id, *(class_of(raw, salt) if raw else (None, None)), len(t), t[: len(t) - needed(len(t), similar) + 1].view(np.int64), signature(t)))
                 ids = pd.array([x[1] for x in out], "Int64")
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "id": ids, "words": [x[2] for x in out], "n_shingles": [x[3] for x in out], "first": [x[4] for x in out], "sign": [x[5] for x in out]})
 
@@ -158,7 +158,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, int]:
         unsettle(rows)
 
 
-def _index(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
+def _index(docs: DataFrame, frequent: np.ndarray, salt: int, shingle: int, similar: int) -> DataFrame:
     """(key, id, n, often): index entries of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST numbers
 
@@ -175,8 +175,8 @@ def _index(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
                 raw = normal(text)
                 if not raw:
                     continue
-                t = tokens(raw)
-                found, share = entries(t, often)
+                t = tokens(raw, shingle)
+                found, share = entries(t, often, similar)
                 keys.append(found)
                 ids.append(class_of(raw, salt)[0])
                 sizes.append(len(t))
@@ -190,25 +190,25 @@ def _index(docs: DataFrame, frequent: np.ndarray, salt: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key long, id long, n int, often int")
 
 
-def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int, similar: int) -> DataFrame:
     """The pairs (a, b) that link, a settled frame. signs has (id, rep, n, sign) of classes. Pairs whose signatures rule a
     link out go first; whole sets are made and sent for what is left only."""
     of = lambda c: signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}"))
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [may_link(*x) for x in zip(batch["sa"], batch["sb"], batch["na"].tolist(), batch["nb"].tolist(), strict=True)]
+            ok = [may_link(*x, similar) for x in zip(batch["sa"], batch["sb"], batch["na"].tolist(), batch["nb"].tolist(), strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
     left = settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(sift, "a long, b long"))
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(signs.select("id", "rep"), "id")
     ids = settle(ids.select("id", F.col("rep").alias("doc_id")))
-    sets = settle(token_sets(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id")))
+    sets = settle(token_sets(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id"), shingle))
     both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["ta"], batch["tb"], strict=True)]
+            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similar) for x, y in zip(batch["ta"], batch["tb"], strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
     out = settle(both.mapInPandas(run, "a long, b long"))
@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def block_links(rows: pd.DataFrame, similar: int = SIMILAR) -> pd.DataFrame:
     """A forest of the links between two blocks (side 0 and 1) of token sets whose components differ: products of incidence
     matrices give all intersections."""
     sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
@@ -235,7 +235,7 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
         table[row[here], column[here] - first] = 1
         both += table[left] @ table[right].T
     both = np.rint(both).astype(np.int64)
-    ok = (100 * both >= SIMILAR * (size[left][:, None] + size[right][None, :] - both)) & (both > 0) & (part[left][:, None] != part[right][None, :])
+    ok = (100 * both >= similar * (size[left][:, None] + size[right][None, :] - both)) & (both > 0) & (part[left][:, None] != part[right][None, :])
     root = {c: c for c in part.tolist()}
 
     def find(c: int) -> int:
@@ -252,7 +252,7 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def block_sift(rows: pd.DataFrame) -> pd.DataFrame:
+def block_sift(rows: pd.DataFrame, similar: int = SIMILAR) -> pd.DataFrame:
     """The pairs between two blocks whose signatures allow a link, across components; where those are most of a family, one
     row without a pair: whole sets are compared there."""
     n, part = rows["n"].to_numpy(), rows["component"].to_numpy()
@@ -272,7 +272,7 @@ def block_sift(rows: pd.DataFrame) -> pd.DataFrame:
             for i, k in enumerate(left.tolist()):
                 most = np.minimum(x[i][None, :], y).sum(1)
                 most = np.where((x[i].max() >= 65535) | (y.max(1) >= 65535), np.minimum(n[k], n[right]), most)
-                ok = (100 * most >= SIMILAR * (n[k] + n[right] - most)) & (part[right] != part[k])
+                ok = (100 * most >= similar * (n[k] + n[right] - most)) & (part[right] != part[k])
                 found += [(ids[k], b) for b in ids[right[ok]].tolist()]
     if len(found) > 4 * len(rows):
         found = [(None, None)]
@@ -283,7 +283,7 @@ def block_sift(rows: pd.DataFrame) -> pd.DataFrame:
     return out[["home", "i", "other", "j", "a", "b"]]
 
 
-def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int, similar: int) -> DataFrame:
     """(a, b): links that join the components of classes that meet in entries (key, id, component, m) of many classes.
     Entries of one family have nearly the same classes, so pairs aren't made by entry: every class has a home, its largest
     entry; homes that meet in an entry are compared once, in blocks of BLOCK classes, by signatures first. The few pairs
@@ -299,11 +299,11 @@ def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFr
     one = lambda h, b, side: each.select("home", "i", "other", "j", F.col(h).alias("h"), F.col(b).alias("b"), F.lit(side).alias("side"))
     task = ["home", "i", "other", "j"]
     sides = one("home", "i", 0).unionByName(one("other", "j", 1)).join(member.select(F.col("home").alias("h"), F.col("block").alias("b"), "id", "component"), ["h", "b"]).drop("h", "b")
-    sifted = settle(sides.join(signs.select("id", "n", "sign"), "id").groupBy(*task).applyInPandas(block_sift, "home long, i long, other long, j long, a long, b long"))
-    some = verified(sifted.where("a is not null").select("a", "b").distinct(), signs, docs)
+    sifted = settle(sides.join(signs.select("id", "n", "sign"), "id").groupBy(*task).applyInPandas(lambda rows: block_sift(rows, similar), "home long, i long, other long, j long, a long, b long"))
+    some = verified(sifted.where("a is not null").select("a", "b").distinct(), signs, docs, shingle, similar)
     dense = settle(sides.join(sifted.where("a is null").select(*task), task, "left_semi"))
-    sets = settle(token_sets(docs.join(_sent(signs.select("id", F.col("rep").alias("doc_id")).join(dense.select("id").distinct(), "id")), "doc_id")))
-    return some.unionByName(dense.join(sets, "id").groupBy(*task).applyInPandas(block_links, "a long, b long"))
+    sets = settle(token_sets(docs.join(_sent(signs.select("id", F.col("rep").alias("doc_id")).join(dense.select("id").distinct(), "id")), "doc_id"), shingle))
+    return some.unionByName(dense.join(sets, "id").groupBy(*task).applyInPandas(lambda rows: block_links(rows, similar), "a long, b long"))
 
 
 def _sent(ids: DataFrame) -> DataFrame:
@@ -312,39 +312,39 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT else ids
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
+def token_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(id, tokens): the sorted token sets, as 64-bit numbers, of docs (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [tokens(normal(t)).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "tokens": [tokens(normal(t), shingle).tobytes() for t in batch["text"]]})
 
     return docs.select("id", "text").mapInPandas(run, "id long, tokens binary")
 
 
-def fits(x: str, y: str) -> Column:
-    return 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
+def fits(x: str, y: str, similar: int) -> Column:
+    return 100 * F.least(x, y) >= similar * F.greatest(x, y)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row for each id: doc_id, n_shingles, rep (the least id of the same words) and component_id."""
+def join(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """One row for each id, by shingles of that many words and that similarity in hundredths: doc_id, n_shingles, rep (the least id of the same words) and component_id."""
     known = one_per_id(docs)
-    rows, salt = classes(known)
+    rows, salt = classes(known, shingle, similar)
     signs = settle(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sign").alias("sign")))
     first = rows.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
     often = np.sort(np.asarray([r.key for r in first.orderBy(F.desc("c"), "key").limit(MOST).collect()], np.int64).view(np.uint64))
     whole, rows = rows, settle(rows.select("doc_id", "id", "n_shingles"))
     unsettle(whole)
-    index = settle(_index(known, often, salt))
+    index = settle(_index(known, often, salt, shingle, similar))
     several = index.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
     entry = settle(index.join(several, "key").distinct())  # copies fall together here
     unsettle(index)
     # every class of an entry with its centre
     best = F.struct("often", "n", -F.col("id"))
     centre = entry.groupBy("key").agg(F.max_by("id", best).alias("c"), F.max_by("n", best).alias("nc"))
-    star = entry.join(centre, "key").where((F.col("id") != F.col("c")) & fits("n", "nc"))
+    star = entry.join(centre, "key").where((F.col("id") != F.col("c")) & fits("n", "nc", similar))
     star = settle(star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-    edges = verified(star, signs, known)
+    edges = verified(star, signs, known, shingle, similar)
     label = components(edges)
     # classes of an entry that are in different components still
     now = entry.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -354,8 +354,8 @@ def join(docs: DataFrame) -> DataFrame:
     few = mixed.where(F.col("m") <= PAIRED)
     x = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
-    more = settle(verified(across.join(star, ["a", "b"], "left_anti"), signs, known).unionByName(linked_blocks(mixed.where(F.col("m") > PAIRED), signs, known)))
+    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb", similar)).select("a", "b").distinct()
+    more = settle(verified(across.join(star, ["a", "b"], "left_anti"), signs, known, shingle, similar).unionByName(linked_blocks(mixed.where(F.col("m") > PAIRED), signs, known, shingle, similar)))
     if more.take(1):
         label = components(edges.unionByName(more))
     unsettle(mixed, entry)
@@ -371,10 +371,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return join(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """docs, columns as they were, with one document of each component: that of the least id. Rows without an id stay; of
     rows that share an id one stays, with the greatest text."""
-    kept = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    kept = join(docs, shingle, similar).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
     lost = docs.where(F.col("doc_id").isNull())
     known = docs.where(F.col("doc_id").isNotNull())
     if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").take(1):

@@ -456,6 +456,17 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == want
 
 
+def test_near_duplicates_by_five_words(spark, sf):
+    """A copy between the two rules: below 0.85 by four words, over 0.8 by five."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(60)]
+    changed = [*base[:54], *(f"v{k}" for k in range(6))]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(changed)), (3, "other words " * 9)], "doc_id long, text string")
+    assert {r.doc_id for r in jaccard_join.first_of_each(df).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, df, sf).collect()} == {1, 3}
+
+
 def test_registered():
     names = set(queries())
     assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(oracle_sql()) <= names
