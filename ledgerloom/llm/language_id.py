@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as segments: runs of letters, ASCII ones in lower case, in pieces of SEGMENT bytes at most. In each one GRU
+A text is read as segments: words between white space, longer ones in pieces of SEGMENT bytes. In each segment one GRU
 runs forwards and one backwards over the bytes; every position gets a softmax over the languages from both states. The
 network is trained in numpy by backpropagation through time on the loss of every position. A document's probabilities
-pool those of all positions: the softmax of their mean log-probabilities, sharpened by POOL. States
+pool those of all positions that are letters: the softmax of their mean log-probabilities, sharpened by POOL. States
 start anew with each segment, so equal segments have equal labels and a worker runs each distinct one once.
 
 Training takes the segments of SAMPLE documents at most, those of the least hashes of their ids, in one task. Null texts
@@ -31,7 +31,7 @@ from .wordcache import WordSums, in_chunks
 SAMPLE = 1200
 SEGMENTS = 12_000
 SEGMENT = 24
-EMBED, HIDDEN = 8, 12
+EMBED, HIDDEN = 10, 14
 EPOCHS, BATCH, RATE = 5, 256, 0.02
 #: Mean log-probabilities of positions are multiplied by this before the document's softmax.
 POOL = 6.0
@@ -41,13 +41,9 @@ LEAST_SCORE = 0.4
 LETTER = re.compile(r"[^\W\d_]")
 
 
-#: Lower-cases A-Z; of ASCII only letters stay, all else becomes a space.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-
-
 def segments(text: str | None) -> list[bytes]:
     out: list[bytes] = []
-    for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split():
+    for w in (text or "").encode("utf-8", "surrogatepass").split():
         if len(w) <= SEGMENT:
             out.append(w)
         else:
@@ -166,7 +162,7 @@ class BiGru:
                     self.p[name] -= rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)
 
     def sums(self, segs: list[bytes]) -> np.ndarray:
-        """For each segment the sums of log-probabilities over its positions, and how many those are. Segments of one
+        """For each segment the sums of log-probabilities over its letters, and how many those are. Segments of one
         length run together, so none is padded and the way back is a plain reversal."""
         out = np.zeros((len(segs), len(self.langs) + 1), np.float32)
         lengths = np.fromiter(map(len, segs), np.int64, len(segs))
@@ -180,8 +176,9 @@ class BiGru:
                 z = f @ self.p["o"][:HIDDEN] + b @ self.p["o"][HIDDEN:] + self.p["q"]
                 z -= z.max(2, keepdims=True)
                 z -= np.log(np.exp(z).sum(2, keepdims=True))
-                out[at, :-1] = z.sum(0)
-                out[at, -1] = x.shape[1]
+                letter = ((((x | 32) >= 97) & ((x | 32) <= 122)) | (x >= 128)).astype(np.float32)
+                out[at, :-1] = (z * letter.T[:, :, None]).sum(0)
+                out[at, -1] = letter.sum(1)
         return out
 
     def _states(self, x: np.ndarray, d: str) -> np.ndarray:

@@ -380,6 +380,15 @@ def test_scoring_network_is_the_trained_one():
         assert np.allclose(net.sums(segs)[k, :-1], want, atol=1e-4) and net.sums(segs)[k, -1] == n[k]
 
 
+def test_network_reads_every_byte():
+    """Capitals, digits and punctuation enter the network; only letters are pooled."""
+    assert (language_id.EMBED, language_id.HIDDEN) == (10, 14)
+    assert language_id.segments("Ab-1, x") == [b"Ab-1,", b"x"]
+    got = language_id.BiGru(["x", "y"]).sums([b"a1b", b"a2b", b"A1b", b"12"])
+    assert got[:, -1].tolist() == [2, 2, 2, 0]
+    assert len({tuple(row) for row in got[:3].tolist()}) == 3
+
+
 def test_automaton():
     rnd = random.Random(1)
     for _ in range(300):
