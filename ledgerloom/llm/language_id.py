@@ -6,7 +6,8 @@ network is trained in numpy by backpropagation through time on the loss of every
 pool those of all positions that are letters: the softmax of their mean log-probabilities, sharpened by POOL. States
 start anew with each segment, so equal segments have equal labels and a worker runs each distinct one once.
 
-Training takes the segments of SAMPLE documents at most, those of the least hashes of their ids, in one task. Null texts
+Training takes the segments of SAMPLE documents at most, those of the least hashes of their ids, and of the first EACH
+of every language by the same hashes, so that rare ones are learned too; it runs in one task. Null texts
 and texts without a letter are `und` with score 0. Without any labelled text everything is `und`. Rows without an id and
 repeated rows are judged like others; an empty table gives an empty result. Other columns stay as they are.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +28,10 @@ from .common import aside, small_batches
 from .quality_model import remainder
 from .wordcache import WordSums, in_chunks
 
-#: Labelled documents that training takes at most, and distinct segments of each language.
+#: Labelled documents that training takes of all at most, of each language at least if there are so many, and distinct
+#: segments of each language.
 SAMPLE = 1200
+EACH = 300
 SEGMENTS = 12_000
 SEGMENT = 24
 EMBED, HIDDEN = 10, 14
@@ -240,8 +243,10 @@ def fit(docs: DataFrame) -> BiGru | None:
     """The network of labelled documents (doc_id, text, lang). Which rows may be used is the caller's choice."""
     known = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").cast("string").alias("__lang"), F.col("text").cast("string").alias("text"))
     known = known.where("__id is not null and __lang is not null and text is not null")
-    picked = known.select("__id", "__lang").orderBy(F.xxhash64("__id", F.lit(13)), "__id", "__lang").limit(SAMPLE).distinct()
-    sample = known.join(F.broadcast(picked), ["__id", "__lang"])  # SAMPLE rows at most
+    ids, order = known.select("__id", "__lang"), [F.xxhash64("__id", F.lit(13)), F.col("__id"), F.col("__lang")]
+    own = ids.withColumn("__k", F.row_number().over(Window.partitionBy("__lang").orderBy(*order))).where(F.col("__k") <= EACH).drop("__k")
+    picked = ids.orderBy(*order).limit(SAMPLE).union(own).distinct()
+    sample = known.join(F.broadcast(picked), ["__id", "__lang"])  # SAMPLE rows and EACH of a language at most
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates().sort_values(["__id", "__lang", "text"])

@@ -389,6 +389,15 @@ def test_network_reads_every_byte():
     assert len({tuple(row) for row in got[:3].tolist()}) == 3
 
 
+def test_rare_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    monkeypatch.setattr(language_id, "EACH", 5)
+    monkeypatch.setattr(language_id, "EPOCHS", 1)
+    rows = [(k, "alpha beta gamma", "en") for k in range(2000)] + [(k, "zzyx qqox", "rare") for k in range(2000, 2003)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert net.langs == ["en", "rare"]
+
+
 def test_automaton():
     rnd = random.Random(1)
     for _ in range(300):
