@@ -36,6 +36,8 @@ class Alias:
     round_output_value: bool = True
     round_output_value_x: float = 1
     round_output_value_j: int = 1
+    market_price: str = ""
+    block_dates: str = ""
     force_merge_inputs: bool = True
 
 

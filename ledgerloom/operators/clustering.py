@@ -72,6 +72,12 @@ def same_owner(transactions: DataFrame, rules: Sequence[Column]) -> DataFrame:
     return transactions.select("block_num", "position", each.alias("r")).select("block_num", "position", "r.rule", "r.ids").where("size(ids) > 1")
 
 
+def common_inputs_of(inputs: DataFrame) -> DataFrame:
+    """(block_num, position, ids) of transactions whose inputs join two nodes or more, from inputs alone: the same sets as
+    those of common_inputs(), without the outputs."""
+    return inputs.groupBy("block_num", "position").agg(F.collect_set("node_id").alias("ids")).where("size(ids) > 1")
+
+
 def star_edges(joined: DataFrame) -> DataFrame:
     """(a, b): from the first node of each set to the others."""
     return joined.select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).where("a <> b")

@@ -65,8 +65,9 @@ def between(start: int, end: int, column: str = "block_num") -> Column:
 
 
 class Store:
-    """Tables of a ledger as Parquet below one folder. Writes replace a table as a whole, by a new version that the next
-    read sees only when it is complete, so a failed write changes nothing."""
+    """Tables of a ledger as Parquet below one folder. A write replaces a table as a whole, by a new version; an append adds
+    files to the version, in order of blocks, so that a range of blocks is read from few of them. Readers see a version or
+    what is added only when it is complete, so a failed write changes nothing."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -80,7 +81,12 @@ class Store:
         if not self._fs.exists(where):
             return []
         found = [x.getPath() for x in self._fs.listStatus(where)]
-        return sorted(int(p.getName()[1:]) for p in found if self._fs.exists(self._path(p, "_SUCCESS")))
+        return sorted(int(p.getName()[1:]) for p in found if "+" not in p.getName() and self._fs.exists(self._path(p, "_SUCCESS")))
+
+    def _added(self, name: str, version: int) -> list[int]:
+        """Finished additions to a version, in order."""
+        found = [x.getPath() for x in self._fs.listStatus(self._path(f"{self.folder}/{name}"))]
+        return sorted(int(p.getName().split("+")[1]) for p in found if p.getName().startswith(f"v{version}+") and self._fs.exists(self._path(p, "_SUCCESS")))
 
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
@@ -90,19 +96,33 @@ class Store:
         versions = self._versions(name)
         if not versions:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{versions[-1]}")
+        top = f"{self.folder}/{name}/v{versions[-1]}"
+        return self.spark.read.parquet(top, *(f"{top}+{k}" for k in self._added(name, versions[-1])))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """The table becomes df, which may read the table. The version before stays until the one after this is there."""
         versions = self._versions(name)
         at = versions[-1] + 1 if versions else 0
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{at}")
+        self._by_block(name, df).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{at}")
         for old in versions[:-1]:
-            self._fs.delete(self._path(f"{self.folder}/{name}/v{old}"), True)
+            for more in ["", *(f"+{k}" for k in self._added(name, old))]:
+                self._fs.delete(self._path(f"{self.folder}/{name}/v{old}{more}"), True)
         return self.read(name)
 
+    def _by_block(self, name: str, df: DataFrame) -> DataFrame:
+        """df with each file a range of blocks, where the table grows by blocks: their least and greatest stand in its footer."""
+        by = PROGRESS.get(name)
+        return df.repartitionByRange(by).sortWithinPartitions(by) if by == "block_num" else df
+
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        return self.write(name, self.read(name).unionByName(df)) if self.exists(name) else self.write(name, df)
+        """The table with the rows of df, which may read the table; what is there is not written again."""
+        if not self.exists(name):
+            return self.write(name, df)
+        version = self._versions(name)[-1]
+        added = self._added(name, version)
+        rows = df.select(*self.read(name).columns)
+        self._by_block(name, rows).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}+{added[-1] + 1 if added else 0}")
+        return self.read(name)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.folder}/{name}"), True)

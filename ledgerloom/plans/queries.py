@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from ..functions import encoding as enc
 from ..functions.scripts import functions as script_functions
 from ..operators import chain, clustering, colored, extract, features, graph, merge, mixing, resolve, scan, series
 from ..operators import transactions as tx
-from ..operators.storage import settle
+from ..operators.storage import settle, shared_dir
 from ..sources import ledger_view as view
+from ..sources.series import read_block_dates, read_market_price
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,11 +66,14 @@ PARTS = {
     "snd": "SELECT DISTINCT block_num, position, alias, node_id AS a FROM ain JOIN lead USING (block_num, position, alias)",
     "inner_edges": """SELECT a, b, min(alias) AS alias FROM (SELECT s.a, o.node_id AS b, alias FROM snd s JOIN aout o USING (block_num, position, alias)
         WHERE NOT EXISTS (SELECT 1 FROM snd z WHERE z.block_num = s.block_num AND z.position = s.position AND z.alias = s.alias AND z.a = o.node_id)) q GROUP BY a, b""",
+    "sized": "SELECT alias, a, b FROM inner_edges WHERE alias IN (SELECT alias FROM inner_edges GROUP BY alias HAVING count(*) IN (1, 2, 3, 5))",
+    "s3": "SELECT alias, a, b FROM sized UNION SELECT alias, b, a FROM sized",
+    "r3": "SELECT alias, a AS node_id, a AS lab FROM s3 UNION SELECT e.alias, e.b, r.lab FROM r3 r JOIN s3 e ON e.a = r.node_id AND e.alias = r.alias AND r.lab < e.b",
 }
 NEEDS = {
     "created": ["tx"], "spent": ["tx"], "inputs": ["spent", "created"], "outputs": ["created"], "nodes": ["created"], "firsts": ["inputs", "spent"], "hist": ["outputs"], "modes": ["hist"],
     "feats": ["inputs", "outputs", "modes"], "joinmarket": ["feats"], "tagged": ["tx"], "star": ["inputs"], "sym": ["star"], "reach": ["sym"], "alias": ["reach"], "ain": ["inputs", "alias"],
-    "aout": ["outputs", "alias"], "afirst": ["firsts", "alias"], "pays": ["afirst", "aout"], "edges": ["pays"], "und": ["edges"], "lead": ["ain"], "snd": ["ain", "lead"], "inner_edges": ["snd", "aout"],
+    "aout": ["outputs", "alias"], "afirst": ["firsts", "alias"], "pays": ["afirst", "aout"], "edges": ["pays"], "und": ["edges"], "lead": ["ain"], "snd": ["ain", "lead"], "inner_edges": ["snd", "aout"], "sized": ["inner_edges"], "s3": ["sized"], "r3": ["s3"],
 }
 
 
@@ -108,7 +113,7 @@ def _out(spark, d, **how):
 
 
 def _alias(spark, d):
-    return clustering.cluster(clustering.same_owner(tx.assemble(_in(spark, d), _out(spark, d)), [clustering.common_inputs()]))
+    return clustering.cluster(clustering.common_inputs_of(_in(spark, d)))
 
 
 def _edges(spark, d, **how):
@@ -465,7 +470,7 @@ def out_features(spark, d):
 
 def _inner(spark, d):
     alias = _alias(spark, d)
-    return graph.cluster_edges(_in(spark, d, alias=alias), _out(spark, d, alias=alias))
+    return settle(graph.cluster_edges(_in(spark, d, alias=alias), _out(spark, d, alias=alias)))  # read several times
 
 
 @query("SELECT * FROM inner_edges", "inner_edges")
@@ -609,8 +614,59 @@ def script_round_trip(spark, d):
 
 @query("SELECT lower(sha256(unhex('6a20' || sha256(CAST(node_id AS VARCHAR))))) AS hash256, min(block_num) AS reveal FROM created GROUP BY node_id", "created")
 def script_first_reveal(spark, d):
-    rows = view.created(spark, d).select(F.unhex(F.concat(F.lit("6a20"), F.sha2(F.col("node_id").cast("string").cast("binary"), 256))).alias("script"), "block_num")
-    return rows.groupBy("script").agg(F.min("block_num").alias("reveal")).select(F.sha2("script", 256).alias("hash256"), "reveal")
+    """Scripts that inputs push last and their first blocks, extracted in two batches and merged."""
+    hidden = F.unhex(F.concat(F.lit("6a20"), F.sha2(F.col("node_id").cast("string").cast("binary"), 256)))
+    rows = view.created(spark, d).select("block_num", F.lit(1).alias("position"), F.concat(F.unhex(F.lit("22")), hidden).alias("script"))
+    one = F.struct("script", F.array().cast("array<binary>").alias("witness"))
+    txs = rows.select("block_num", "position", F.array(one).alias("inputs"))
+    found = merge.merge_scripts(extract.scripts(txs.where("block_num <= 1000")), extract.scripts(txs.where("block_num > 1000")))
+    return found.select(F.lower(F.hex("hash256")).alias("hash256"), "reveal")
+
+
+@query(
+    """SELECT alias, CAST(count(DISTINCT lab) AS BIGINT) AS cluster_num_cc, CAST(count(*) AS BIGINT) AS cluster_num_nodes_in_cc FROM (SELECT alias, node_id, min(lab) AS lab FROM r3 GROUP BY alias, node_id) q GROUP BY alias""",
+    "r3",
+)
+def cluster_num_cc_of_sizes(spark, d):
+    return features.cluster_num_cc(_inner(spark, d), [1, 2, 3, 5])
+
+
+@query("SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey > 100 GROUP BY 1")
+def raw_sql(spark, d):
+    """A query over a store's tables as views."""
+    store = scan.Store(spark, f"{shared_dir(spark)}/stores/{uuid4().hex}")
+    o = table(spark, d, "orders")
+    store.append("alias", o.where("o_custkey % 2 = 0").selectExpr("o_orderkey as node_id", "ascii(o_orderstatus) as alias"))
+    store.append("alias", o.where("o_custkey % 2 = 1").selectExpr("o_orderkey as node_id", "ascii(o_orderstatus) as alias"))
+    return store.sql("SELECT char(alias) AS status, count(*) AS n FROM alias WHERE node_id > 100 GROUP BY alias")
+
+
+@query("SELECT CAST(max(c_custkey) AS BIGINT) AS m FROM customer WHERE c_nationkey = 3")
+def fetch_one(spark, d):
+    """The first row of a raw query."""
+    store = scan.Store(spark, f"{shared_dir(spark)}/stores/{uuid4().hex}")
+    store.write("alias", table(spark, d, "customer").selectExpr("c_custkey as node_id", "c_nationkey as alias"))
+    return spark.createDataFrame([(store.sql("SELECT max(node_id) AS m FROM alias WHERE alias = 3", "one").m,)], "m long")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS block_num, CAST(o_custkey AS BIGINT) AS seconds FROM orders")
+def block_dates(spark, d):
+    """The JSON object of block times, written from a table and read again."""
+    rows = table(spark, d, "orders").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), "o_custkey")))).alias("value"))
+    path = f"{shared_dir(spark)}/json/{uuid4().hex}"
+    rows.write.text(path)
+    return read_block_dates(spark, path).select("block_num", F.unix_timestamp("ts").alias("seconds"))
+
+
+@query("SELECT CAST(1325376000 + p_partkey * 60 AS BIGINT) AS seconds, CAST(p_size AS DOUBLE) AS price FROM part WHERE p_partkey % 5 <> 0")
+def market_price(spark, d):
+    """The JSON object of prices, with early ones and ones of nothing, which are left out."""
+    at = F.expr("case when p_partkey % 10 = 0 then 1000 else 1325376000000 + p_partkey * 60000 + 999 end")
+    price = F.expr("case when p_partkey % 10 = 5 then 0D else cast(p_size as double) end")
+    rows = table(spark, d, "part").agg(F.to_json(F.struct(F.collect_list(F.struct(at.alias("x"), price.alias("y"))).alias("market-price"))).alias("value"))
+    path = f"{shared_dir(spark)}/json/{uuid4().hex}"
+    rows.write.text(path)
+    return read_market_price(spark, path).select(F.unix_timestamp("ts").alias("seconds"), "price")
 
 
 @query()
@@ -619,6 +675,23 @@ def script_address(spark, d):
     return rows.select("p_partkey", script_functions()["to_address"](F.col("w.owner"), F.col("w.tp")).alias("address"))
 
 
+#: Owners (hex), classes and their addresses, from public standards.
+ADDRESSES = (
+    ("62e907b15cbf27d5425399ebf6f0fb50ebb88f18", "p2pkh", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"),
+    ("0000000000000000000000000000000000000000", "p2pkh", "1111111111111111111114oLvT2"),
+    ("0000000000000000000000000000000000000000", "p2sh", "31h1vYVSYuKP6AhS86fbRdMw9XHieotbST"),
+    ("751e76e8199196d454941c45d1b3a323f1433bd6", "p2wpkh", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"),
+    ("1863143c14c5166804bd19203356da136c985678cd4d27a1b8c6329604903262", "p2wsh", "bc1qrp33g0q5c5txsp9arysrx4k6zdkfs4nce4xj0gdcccefvpysxf3qccfmv3"),
+)
+
+
+@query("SELECT o AS owner, c AS class, a AS address FROM (VALUES " + ", ".join(f"('{o}', '{c}', '{a}')" for o, c, a in ADDRESSES) + ") v(o, c, a)")
+def address_vectors(spark, d):
+    rows = spark.createDataFrame([x[:2] for x in ADDRESSES], "owner string, class string")
+    kind = F.when(F.col("class") == "p2pkh", 1).when(F.col("class") == "p2sh", 2).otherwise(F.when(F.col("class") == "p2wpkh", 3).otherwise(4))
+    return rows.select("owner", "class", script_functions()["to_address"](F.unhex("owner"), kind.cast("int")).alias("address"))
+
+
 @query("SELECT block_num, position, txo_id, value % 10 = 0 AS z1, value % 100 = 0 AS z2 FROM outputs", "outputs")
 def trailing_zeros(spark, d):
     return _out(spark, d).select("block_num", "position", "txo_id", enc.ends_with_zeros(F.col("value"), 1).alias("z1"), enc.ends_with_zeros(F.col("value"), 2).alias("z2"))

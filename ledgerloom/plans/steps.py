@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import chain, clustering, colored, extract, features, graph, merge, mixing, resolve
+from ..operators import chain, clustering, colored, extract, features, graph, merge, mixing, resolve, series
 from ..operators import transactions as tx
 from ..operators.scan import Store, after, between
 from ..sources.blockfile import read_blocks
+from ..sources.series import read_block_dates, read_market_price
 
 
 def blocks(spark: SparkSession, store: Store, config: Config) -> None:
@@ -65,11 +66,20 @@ def colored_coins(spark: SparkSession, store: Store, config: Config) -> None:
 
 
 def alias(spark: SparkSession, store: Store, config: Config, price: DataFrame | None = None) -> DataFrame:
-    """Clusters by the rules that are switched on; they are stored if insert_alias is. Round values need a price by block."""
+    """Clusters by the rules that are switched on; they are stored if insert_alias is. Round values need a price by block: a
+    frame (block_num, price), or the files that the settings market_price and block_dates name."""
     c = config.alias
+    if c.round_output_value and price is None:
+        if not (c.market_price and c.block_dates):
+            raise ValueError("round_output_value needs prices by block: set alias.market_price and alias.block_dates, or give a frame")
+        price = series.price_by_block(read_market_price(spark, c.market_price), read_block_dates(spark, c.block_dates))
     nodes = store.read("nodes").select("node_id", "reuse")
     excluded = [store.read("coinjoin")] if c.exclude_coinjoin else []
     inputs, outputs = _sides(store, config, excluded=excluded, nodes=nodes)
+    before = store.read("alias") if store.exists("alias") else None
+    if c.common_input_ownership and not (c.deposit_address or c.change_address or c.round_output_value or c.force_merge_inputs):
+        out = clustering.cluster(clustering.common_inputs_of(inputs.where(after(config.start, config.end))), before)
+        return store.write("alias", out) if c.insert_alias else out
     whole = tx.assemble(inputs, outputs).where(after(config.start, config.end))
     rules = []
     if c.common_input_ownership:
@@ -78,12 +88,12 @@ def alias(spark: SparkSession, store: Store, config: Config, price: DataFrame |
         rules.append(clustering.deposit(c.deposit_address_min_num_inputs))
     if c.change_address:
         rules.append(clustering.change(config.end))
-    if c.round_output_value and price is not None:
+    if c.round_output_value:
         whole = clustering.with_zeros(whole, price, c.round_output_value_x)
         rules.append(clustering.round_value(config.end, F.col("zeros"), c.round_output_value_j))
     if c.force_merge_inputs:
         rules.append(clustering.forced_merge(config.end))
-    out = clustering.cluster(clustering.same_owner(whole, rules), store.read("alias") if store.exists("alias") else None)
+    out = clustering.cluster(clustering.same_owner(whole, rules), before)
     return store.write("alias", out) if c.insert_alias else out
 
 

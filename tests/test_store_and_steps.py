@@ -70,9 +70,11 @@ def folder(tmp_path_factory):
 def test_run(spark, folder, tmp_path):
     top, hashes = folder
     store = Store(spark, f"file://{tmp_path}/store")
+    (tmp_path / "p.json").write_text('{"market-price": [{"x": 1325376000000, "y": 5.0}]}')
+    (tmp_path / "d.json").write_text('{"0": 1325376000, "10": 1325379600}')
     config = Config.from_dict({
         "folder": f"file://{top}", "start": 0, "end": 10, "blocks": {"do": True}, "txos": {"do": True, "add_script": True}, "coinjoin": {"do": True}, "colored_coins": {"do": True},
-        "alias": {"do": True, "insert_alias": True}, "transaction_edges": {"do": True, "exclude_colored_coin": False}, "undirected_transaction_edges": {"do": True}, "features": {"do": True, "do_cluster_features": True},
+        "alias": {"do": True, "insert_alias": True, "market_price": f"file://{tmp_path}/p.json", "block_dates": f"file://{tmp_path}/d.json"}, "transaction_edges": {"do": True, "exclude_colored_coin": False}, "undirected_transaction_edges": {"do": True}, "features": {"do": True, "do_cluster_features": True},
     })
     steps.run(spark, store, config)
     assert {bytes(r.hash): (r.num, r.num_file) for r in store.read("blocks").collect()} == {hashes[0]: (0, 0), hashes[1]: (1, 1), hashes[2]: (2, 1)}
@@ -156,6 +158,22 @@ def test_store(spark, tmp_path):
     assert not store.exists("alias")
 
 
+def test_appends_keep_files_and_block_ranges(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda a, b: spark.range(a, b).selectExpr("id as block_num", "id % 3 as position", "cast(cast(id as string) as binary) as txo_id").repartition(3)
+    first = set(store.write("spent_txos", rows(0, 100)).inputFiles())
+    both = set(store.append("spent_txos", rows(100, 200)).inputFiles())
+    assert first < both and store.len("spent_txos") == 200 and store.progress("spent_txos") == 199
+    (tmp_path / "s/spent_txos/v0+7").mkdir()  # an addition that wasn't finished
+    assert store.len("spent_txos") == 200
+    assert store.write("spent_txos", store.read("spent_txos").where("block_num < 150")).count() == 150 and store.append("spent_txos", rows(150, 151)).count() == 151
+
+
+def test_round_values_need_prices(spark, tmp_path):
+    with pytest.raises(ValueError, match="price"):
+        steps.alias(spark, Store(spark, f"file://{tmp_path}/s"), Config.from_dict({"alias": {"do": True, "round_output_value": True}}))
+
+
 def test_merges(spark):
     edge = "a long, b long, reveal long, last_seen long, total long, min_sent long, max_sent long, total_sent long"
     old, new = spark.createDataFrame([(1, 2, 5, 9, 2, 3, 8, 11)], edge), spark.createDataFrame([(1, 2, 4, 7, 1, 1, 1, 1)], edge)
