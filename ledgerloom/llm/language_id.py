@@ -1,57 +1,88 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as segments: words between white space, longer ones in pieces of SEGMENT bytes. In each segment one GRU
-runs forwards and one backwards over the bytes; every position gets a softmax over the languages from both states. The
-network is trained in numpy by backpropagation through time on the loss of every position. A document's probabilities
-pool those of all positions that are letters: the softmax of their mean log-probabilities, sharpened by POOL. States
-start anew with each segment, so equal segments have equal labels and a worker runs each distinct one once.
-
-Training takes the segments of SAMPLE documents at most, those of the least hashes of their ids, and of the first EACH
-of every language by the same hashes, so that rare ones are learned too; it runs in one task. Null texts
-and texts without a letter are `und` with score 0. Without any labelled text everything is `und`. Rows without an id and
-repeated rows are judged like others; an empty table gives an empty result. Other columns stay as they are.
+One GRU runs forwards and one backwards over all bytes of a text, white space, digits and punctuation too; every position
+gets a softmax over the languages from both states. Texts are read in windows of STRIDE positions: in each, the states of
+either direction start CONTEXT bytes outside it, or at the text's end, so every position is labelled with the bytes beside
+it in sight, across words, and windows of many texts run together. The network is trained in numpy by backpropagation
+through time on the loss of every position. A document's probabilities pool those of all positions that are letters: the
+softmax of their mean log-probabilities, sharpened by POOL. A byte counts as a letter's if it is one of A-Z or a-z or belongs to
+a character beyond ASCII.
+
+Training takes passages of TRAINED bytes of SAMPLE documents at most, those of the least hashes of their ids, and of the
+first EACH of every language by the same hashes, so that rare ones are learned too; it runs in one task, and what a document gives
+is bounded. Null texts and texts without a letter are `und` with score 0. Without any labelled text everything is `und`. Rows
+without an id and repeated rows are judged like others; an empty table gives an empty result. Other columns stay as they
+are; label() replaces columns named lang_pred and score.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, small_batches
+from .common import aside
 from .quality_model import remainder
-from .wordcache import WordSums, in_chunks
+from .wordcache import in_chunks
 
-#: Labelled documents that training takes of all at most, of each language at least if there are so many, and distinct
-#: segments of each language.
+#: Labelled documents that training takes of all at most, and of each language at least if there are so many.
 SAMPLE = 1200
 EACH = 300
-SEGMENTS = 12_000
-SEGMENT = 24
+#: Bytes of a passage that training reads, passages of each language, and of a document at most.
+TRAINED = 96
+PASSAGES, PER_DOCUMENT = 2500, 40
+#: Positions of a window that are labelled, and bytes on either side that states start from.
+STRIDE, CONTEXT = 192, 32
+#: Windows that run together, and steps whose labels are computed together.
+AT_ONCE, STEPS = 1024, 32
 EMBED, HIDDEN = 10, 14
-EPOCHS, BATCH, RATE = 5, 256, 0.02
+EPOCHS, BATCH, RATE = 4, 128, 0.02
 #: Mean log-probabilities of positions are multiplied by this before the document's softmax.
 POOL = 6.0
 UND = "und"
 #: Documents of a lower score are rejected by keep().
 LEAST_SCORE = 0.4
 LETTER = re.compile(r"[^\W\d_]")
+#: Stands for a byte outside the text: a state that is 0 stays so.
+NONE = 256
+#: Bytes that belong to letters.
+OF_LETTERS = np.array([c > 127 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)] + [False])
 
 
-def segments(text: str | None) -> list[bytes]:
-    out: list[bytes] = []
-    for w in (text or "").encode("utf-8", "surrogatepass").split():
-        if len(w) <= SEGMENT:
-            out.append(w)
-        else:
-            out += [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-    return out
+def raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of CONTEXT + STRIDE + CONTEXT bytes, NONE outside texts, the text of each and how many of its positions are in it,
+    shortest first."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = -(-sizes // STRIDE)
+    flat = np.full(int(sizes.sum()) + (len(texts) + 1) * (CONTEXT + STRIDE), NONE, np.uint16)
+    at = CONTEXT + np.cumsum(sizes + CONTEXT + STRIDE) - sizes - CONTEXT - STRIDE  # where each text begins, with room around
+    for k, t in enumerate(texts):
+        flat[at[k] : at[k] + len(t)] = np.frombuffer(t, np.uint8)
+    of = np.repeat(np.arange(len(texts)), counts)
+    first = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
+    n = np.minimum(STRIDE, sizes[of] - first)
+    order = np.argsort(n, kind="stable")
+    of, n, start = of[order], n[order], (at[of] + first)[order] - CONTEXT
+    return flat[start[:, None] + np.arange(CONTEXT + STRIDE + CONTEXT)[None, :]], of, n
+
+
+def passages(text: str) -> list[bytes]:
+    """Up to PER_DOCUMENT passages of TRAINED bytes, spread over the text."""
+    t = raw(text)
+    starts = np.unique(np.linspace(0, max(0, len(t) - TRAINED), min(PER_DOCUMENT, max(1, len(t) // TRAINED))).astype(int))
+    return [t[i : i + TRAINED] for i in starts.tolist()]
 
 
 def padded(segs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,49 +195,59 @@ class BiGru:
                     v[name] += 0.01 * (g * g - v[name])
                     self.p[name] -= rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-8)
 
-    def sums(self, segs: list[bytes]) -> np.ndarray:
-        """For each segment the sums of log-probabilities over its letters, and how many those are. Segments of one
-        length run together, so none is padded and the way back is a plain reversal."""
-        out = np.zeros((len(segs), len(self.langs) + 1), np.float32)
-        lengths = np.fromiter(map(len, segs), np.int64, len(segs))
-        order = np.argsort(lengths, kind="stable")
-        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1)).tolist() + [len(segs)]
-        for first, last in zip(edges, edges[1:], strict=False):
-            for i in range(first, last, 4096):
-                at = order[i : min(last, i + 4096)]
-                x = np.frombuffer(b"".join([segs[k] for k in at]), np.uint8).reshape(len(at), -1)
-                f, b = self._states(x, "f"), self._states(x[:, ::-1], "b")[::-1]
-                z = f @ self.p["o"][:HIDDEN] + b @ self.p["o"][HIDDEN:] + self.p["q"]
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sums of log-probabilities over its letters, and how many those are."""
+        out = np.zeros((len(texts), len(self.langs) + 1), np.float64)
+        x, of, n = windows(texts)
+        tables = {d: self._tables(d) for d in "fb"}
+        for i in range(0, len(x), AT_ONCE):
+            wide = int(n[i : i + AT_ONCE].max())
+            part = np.ascontiguousarray(x[i : i + AT_ONCE, : CONTEXT + wide + CONTEXT].T)
+            inside = np.arange(wide)[:, None] < n[i : i + AT_ONCE][None, :]
+            letter = OF_LETTERS[part[CONTEXT : CONTEXT + wide]] & inside
+            f = self._states(part[: CONTEXT + wide], tables["f"])[CONTEXT:]
+            b = self._states(part[: CONTEXT - 1 : -1], tables["b"])[CONTEXT:][::-1]
+            got = np.zeros((part.shape[1], len(self.langs)), np.float32)
+            for t in range(0, wide, STEPS):
+                z = f[t : t + STEPS] @ self.p["o"][:HIDDEN] + b[t : t + STEPS] @ self.p["o"][HIDDEN:] + self.p["q"]
                 z -= z.max(2, keepdims=True)
                 z -= np.log(np.exp(z).sum(2, keepdims=True))
-                letter = ((((x | 32) >= 97) & ((x | 32) <= 122)) | (x >= 128)).astype(np.float32)
-                out[at, :-1] = (z * letter.T[:, :, None]).sum(0)
-                out[at, -1] = letter.sum(1)
+                z *= letter[t : t + STEPS, :, None]
+                got += z.sum(0)
+            np.add.at(out[:, :-1], of[i : i + AT_ONCE], got)
+            np.add.at(out[:, -1], of[i : i + AT_ONCE], letter.sum(0))
         return out
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """States after each byte (steps, n, HIDDEN), for scoring: the same as _run, with little memory."""
+    def _tables(self, d: str) -> tuple[np.ndarray, ...]:
+        """By byte what enters the gates, halved, and the candidate, none for NONE; the states' weights for either."""
         h, u = HIDDEN, self.p[f"u{d}"]
-        table = self.p["e"] @ self.p[f"w{d}"] + self.p[f"c{d}"]
-        gates, last = np.ascontiguousarray(u[:, : 2 * h]) * np.float32(0.5), np.ascontiguousarray(u[:, 2 * h :])
-        lead, rest = np.ascontiguousarray(table[:, : 2 * h]) * np.float32(0.5), np.ascontiguousarray(table[:, 2 * h :])
-        s = np.zeros((len(x), h), np.float32)
-        out = np.empty((x.shape[1], len(x), h), np.float32)
-        for t in range(x.shape[1]):
-            at = x[:, t]
-            g = s @ gates
-            g += lead[at]
+        table = np.concatenate((self.p["e"] @ self.p[f"w{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * h), np.float32))).astype(np.float32)
+        half = np.float32(0.5)
+        return tuple(map(np.ascontiguousarray, (table[:, : 2 * h] * half, table[:, 2 * h :], u[:, : 2 * h] * half, u[:, 2 * h :])))
+
+    def _states(self, x: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
+        """States after each byte (steps, n, HIDDEN), for scoring: the same as _run, with little memory."""
+        lead, rest, gates, last = tables
+        steps, n, h = *x.shape, HIDDEN
+        out = np.empty((steps, n, h), np.float32)
+        a, g = np.empty((n, 2 * h), np.float32), np.empty((n, 2 * h), np.float32)
+        e, c, s = np.empty((n, h), np.float32), np.empty((n, h), np.float32), np.zeros((n, h), np.float32)
+        half = np.float32(0.5)
+        for t in range(steps):
+            np.take(lead, x[t], 0, out=a, mode="clip")
+            np.take(rest, x[t], 0, out=e, mode="clip")
+            np.matmul(s, gates, out=g)
+            g += a
             np.tanh(g, out=g)
             g += 1
-            g *= np.float32(0.5)
-            c = s @ last
+            g *= half
+            np.matmul(s, last, out=c)
             c *= g[:, :h]
-            c += rest[at]
+            c += e
             np.tanh(c, out=c)
-            s = s - c
-            s *= g[:, h:]
-            s += c
-            out[t] = s
+            np.subtract(s, c, out=e)
+            e *= g[:, h:]
+            s = np.add(e, c, out=out[t])
         return out
 
     def dump(self) -> bytes:
@@ -219,23 +260,17 @@ class BiGru:
 
 
 def learn(texts: list[str], langs: list[str]) -> BiGru | None:
-    counts: dict[tuple[bytes, str], int] = {}
+    own: dict[str, list[bytes]] = {}
     for t, g in zip(texts, langs, strict=True):
-        for s in segments(t):
-            if LETTER.search(s.decode("utf-8", "replace")):
-                counts[s, g] = counts.get((s, g), 0) + 1
-    if not counts:
+        own.setdefault(g, []).extend(p for p in passages(t) if LETTER.search(p.decode("utf-8", "ignore")))
+    names = sorted(g for g, found in own.items() if found)
+    if not names:
         return None
-    names = sorted({g for _, g in counts})
-    rng, picked = np.random.default_rng(2), []
-    for g in names:
-        own = sorted(k for k in counts if k[1] == g)
-        picked += [own[i] for i in sorted(rng.permutation(len(own))[:SEGMENTS])]
-    y = np.asarray([names.index(g) for _, g in picked])
-    weight = np.sqrt(np.asarray([counts[k] for k in picked], np.float64))
-    share = np.bincount(y, weight, len(names))
+    picked = [(p, k) for k, g in enumerate(names) for p in sorted(own[g], key=lambda p: (zlib.crc32(p), p))[:PASSAGES]]
+    y = np.asarray([k for _, k in picked])
+    share = np.bincount(y, minlength=len(names)) * len(names) / len(y)
     net = BiGru(names)
-    net.fit([s for s, _ in picked], y, weight / share[y] * len(y) / len(names))
+    net.fit([p for p, _ in picked], y, 1 / share[y])
     return net
 
 
@@ -244,7 +279,9 @@ def fit(docs: DataFrame) -> BiGru | None:
     known = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").cast("string").alias("__lang"), F.col("text").cast("string").alias("text"))
     known = known.where("__id is not null and __lang is not null and text is not null")
     ids, order = known.select("__id", "__lang"), [F.xxhash64("__id", F.lit(13)), F.col("__id"), F.col("__lang")]
-    own = ids.withColumn("__k", F.row_number().over(Window.partitionBy("__lang").orderBy(*order))).where(F.col("__k") <= EACH).drop("__k")
+    first = lambda rows, *by: rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= EACH).drop("__k")
+    own = first(ids.withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(64))), "__lang", "__b")  # a frequent language is no single task
+    own = first(own, "__lang").drop("__b")
     picked = ids.orderBy(*order).limit(SAMPLE).union(own).distinct()
     sample = known.join(F.broadcast(picked), ["__id", "__lang"])  # SAMPLE rows and EACH of a language at most
 
@@ -259,31 +296,28 @@ def fit(docs: DataFrame) -> BiGru | None:
 
 def label(docs: DataFrame, net: BiGru | None) -> DataFrame:
     """docs with lang_pred and score."""
-    small_batches(docs.sparkSession)
-    rest = docs.drop("lang_pred", "score")
+    rest = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(part: list[str | None]) -> Iterator[tuple[str, float]]:
         net = sent.value
-        sums = WordSums(net.sums, len(net.langs) + 1) if net else None
+        for t, row in zip(part, net.sums([raw(t) for t in part]) if net else part, strict=True):
+            if net is None or not t or not row[-1] or not LETTER.search(t):
+                yield UND, 0.0
+                continue
+            z = POOL * row[:-1] / row[-1]
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            yield net.langs[int(p.argmax())], float(p.max())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
-            for part in in_chunks(t if isinstance(t, str) else None for t in batch["text"]):
-                got = sums.add([segments(t) for t in part]) if sums else [None] * len(part)
-                for t, row in zip(part, got, strict=True):
-                    if row is None or not t or not row[-1] or not LETTER.search(t):
-                        names.append(UND)
-                        scores.append(0.0)
-                        continue
-                    z = POOL * row[:-1] / row[-1]
-                    p = np.exp(z - z.max())
-                    p /= p.sum()
-                    names.append(net.langs[int(p.argmax())])
-                    scores.append(float(p.max()))
-            yield batch.assign(lang_pred=names, score=scores)
-
-    return rest.mapInPandas(run, schema)
+            got = [x for part in in_chunks(x.as_py() for x in batch.column("text")) for x in judged(part)]
+            more = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
+
+    return rest.mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame) -> DataFrame:
