@@ -4,8 +4,10 @@ The normalised words of all test items go into one suffix automaton. The words o
 word the state gives the longest suffix that occurs in an item. Where that is at least MIN_WORDS long, those words are
 hit; items of fewer words are hit whole. A document whose hits reach MIN_COVER of its words is contaminated.
 
-Items are taken in blocks of BLOCK_WORDS words at most by their hash, so what is sent to the executors is bounded: one
-block's automaton at a time, one pass over the documents for each block, no shuffle. Null and empty texts have no words
+Items are taken in blocks of about BLOCK_WORDS words; their texts are sent to the executors once, so the whole benchmark must fit a
+disk there, and the driver holds one block at a time. Documents are read once, without a shuffle: a worker streams them through
+one automaton after the other. It keeps up to HELD automata; where there are more, it gathers documents of about
+GATHERED characters and builds each automaton anew for them, so memory is bounded by the constants and the longest text. Null and empty texts have no words
 and no hits; rows without an id and repeated rows are judged like any other; empty tables of documents or items give an
 empty result or no hits. Items without an id or text are left out. Other columns stay as they are.
 """
@@ -17,16 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, small_batches
+from .common import aside
 
 MIN_WORDS = 13
 #: Hits of at least one in so many words contaminate.
 ONE_IN = 20
 BLOCK_WORDS = 50_000
+#: Automata that a worker keeps, some 25 MB each, and characters that it gathers where there are more blocks.
+HELD = 4
+GATHERED = 32_000_000
+#: Documents that are matched and sent on together.
+AT_ONCE = 500
 
 #: Lower-cases A-Z; every other ASCII character that is no digit or letter becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -146,44 +154,89 @@ SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
 ADDED = (T.StructField("n_words", T.LongType()), T.StructField("hits", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()))
 
 
-def _blocks(items: DataFrame, least: int) -> Iterator[Automaton]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks of BLOCK_WORDS words, or a single longer one; none has at least one, empty block."""
     known = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // (2 * BLOCK_WORDS)))  # a word has two characters at least, with the one that ends it
-    for k in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Automaton([(r.item_id, words(r.text)) for r in part.toLocalIterator()], least)
+    held: list[tuple[str, str]] = []
+    size = blocks = 0
+    for r in known.toLocalIterator():
+        n = len(words(r.text))
+        if held and size + n > BLOCK_WORDS:
+            yield held
+            held, size, blocks = [], 0, blocks + 1
+        held.append((r.item_id, r.text))
+        size += n
+    if held or not blocks:
+        yield held
+
+
+class Matcher:
+    """The automata of broadcast blocks."""
+
+    def __init__(self, blocks: list, least: int):
+        self.blocks, self.least = blocks, least
+        self.kept: dict[int, Automaton] = {}
+
+    def automata(self) -> Iterator[Automaton]:
+        for k, b in enumerate(self.blocks):
+            a = self.kept.get(k)
+            if a is None:
+                items = b.value
+                a = Automaton([(name, words(text)) for name, text in items], self.least)
+                if len(self.blocks) <= HELD:
+                    self.kept[k] = a
+                else:
+                    b._value = None  # read again from the executor's disk for the next documents
+                    del b._value
+            yield a
+
+    def match(self, texts: list[str | None]) -> list[tuple[int, list, list[str], int]]:
+        """(n_words, hits, items, longest) of each text."""
+        lists = [words(t) for t in texts]
+        spans: list[list] = [[] for _ in lists]
+        names: list[set] = [set() for _ in lists]
+        longest = [0] * len(lists)
+        for a in self.automata():
+            for k, ws in enumerate(lists):
+                hits, found, far = a.match(ws)
+                if hits:
+                    spans[k] = merged([*spans[k], *hits]) if spans[k] else hits
+                    names[k].update(a.items[i] for i in found)
+                longest[k] = max(longest[k], far if far >= self.least else 0)
+        return [(len(ws), [list(x) for x in spans[k]], sorted(names[k]), longest[k]) for k, ws in enumerate(lists)]
 
 
 def match(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with n_words, hits (merged [start, end) pairs of words), items (ids with occurring windows, sorted as strings)
-    and longest (words of the longest match)."""
+    and longest (words of the longest match, 0 below least words); columns of these names are replaced."""
     spark = docs.sparkSession
-    small_batches(spark)
-    out = docs.drop(*(f.name for f in ADDED))
-    schema = T.StructType([*out.schema.fields, *ADDED])
-    for f in ADDED:
-        out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
-    for automaton in _blocks(items, least):
-        sent = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            a = sent.value
-            for batch in batches:
-                n_words, hits, names, longest = [], [], [], []
-                for text, old, ids, far in zip(batch["text"], batch["hits"], batch["items"], batch["longest"], strict=True):
-                    ws = words(text if isinstance(text, str) else None)
-                    spans, found, most = a.match(ws)
-                    if old is not None and len(old):
-                        spans = merged([*spans, *(tuple(x) for x in old)])
-                    n_words.append(len(ws))
-                    hits.append([list(x) for x in spans])
-                    names.append(sorted({*(a.items[i] for i in found), *(ids if ids is not None else ())}))
-                    longest.append(max(most, 0 if pd.isna(far) else int(far)))
-                yield batch.assign(n_words=n_words, hits=hits, items=names, longest=longest)
-
-        out = out.mapInPandas(run, schema)
-    return out
+    rest = docs.drop(*(f.name for f in ADDED))
+    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(items)]
+    kinds = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(blocks, least)
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = m.match([t for b in held for t in b.column("text").to_pylist()])
+            for b in held:
+                mine, found = found[: b.num_rows], found[b.num_rows :]
+                more = [pa.array([x[i] for x in mine], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *(f.name for f in ADDED)])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                held.append(batch.slice(i, AT_ONCE))
+                size += held[-1].nbytes
+                if len(blocks) <= HELD or size >= GATHERED:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    return rest.withColumn("text", F.col("text").cast("string")).mapInArrow(run, T.StructType([*(f if f.name != "text" else T.StructField("text", T.StringType()) for f in rest.schema.fields), *ADDED]))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,13 +264,17 @@ def clean(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS, one_in: int
     return judge(rest, items, least, one_in).where(~F.col("contaminated")).select(*rest.columns).withColumnsRenamed(back)
 
 
-def strip_spans(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs whose texts lose the characters from the first to the last word of every hit span of least words or more."""
+def strip_spans(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS, one_in: int | None = None) -> DataFrame:
+    """docs whose texts lose the characters from the first to the last word of every hit span of least words or more (or a
+    whole shorter item). With one_in only texts that reach that cover lose spans."""
     import regex
 
     word = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     rest, back = aside(docs, *ADDED_NAMES)
     hit, names = match(rest, items, least), rest.columns
+    if one_in is not None:
+        total = F.expr("aggregate(hits, 0L, (n, x) -> n + x[1] - x[0])")
+        hit = hit.withColumn("hits", F.when(one_in * total >= F.col("n_words"), F.col("hits")).otherwise(F.array().cast("array<array<int>>")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
