@@ -2,15 +2,15 @@
 
 A word's features are hashes of the word and of its character n-grams of 3 to 5, between marks of its ends. Words of over
 LONGEST bytes (texts without spaces are one) are read in consecutive pieces that count like words; pieces overlap, so that
-every n-gram of the word is in one. Each hash has a learned vector; a word is the mean of its features' vectors, a document
-the mean of its words'. A softmax gives the
-probabilities of the labels. Vectors and output are trained together by stochastic gradient descent in numpy, on a sample
+every n-gram of the word is in one. Word bigrams are features too; in them a word that equals the one before is written as
+a mark, so repetition is learned whatever the word. Each hash has a learned vector; a word is the mean of its features'
+vectors, a document the mean of its words' and the mean of its bigrams', added. A softmax gives the probabilities of the labels. Vectors and output are trained together by stochastic gradient descent in numpy, on a sample
 of SAMPLE labelled documents at most, those of the least hashes of their ids. Training runs in one task over that sample;
 what reaches the driver is one number for each hash bucket. Scoring runs over batches without a shuffle: the document's
 logit is linear in its words, so each distinct word is looked up once by a worker.
 
 Null, empty and wordless texts score the model's bias. Rows without an id and repeated rows are scored like others; rows
-without an id take no part in training. Without labels of both kinds every score is the share of label 1, or 0.5 if there
+without an id take no part in training, and of rows that share an id the least text does; score() replaces a column of the score's name. Without labels of both kinds every score is the share of label 1, or 0.5 if there
 is no label. An empty table gives an empty result.
 """
 
@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
 from .wordcache import WordSums, in_chunks
 
 #: Labelled documents that training takes at most.
@@ -40,8 +40,8 @@ GRAMS = (3, 5)
 LONGEST = 64
 #: Words whose features are looked up together.
 AT_ONCE = 4096
-#: The bucket of word bigrams of one word twice, which tell repetition whatever the word.
-SAME = BUCKETS - 1
+#: Either word of a bigram of one word twice.
+MARK = zlib.crc32(b"")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,19 +67,33 @@ def features(unit: bytes) -> list[int]:
     b = unit[1:] if unit.startswith(b" ") else b"<" + unit + b">"
     grams = {b[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(b) - n + 1)}
     grams.add(b"=" + unit)
-    return [zlib.crc32(g) % SAME for g in grams]
+    return [zlib.crc32(g) % BUCKETS for g in grams]
+
+
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """Hash buckets of the pairs of neighbouring words, of which hashes are those of all words."""
+    a, b = hashes[:-1].astype(np.uint64), hashes[1:].astype(np.uint64)
+    same = a == b
+    a, b = np.where(same, np.uint64(MARK), a), np.where(same, np.uint64(MARK), b)
+    x = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def crcs(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, ws), np.int64, len(ws))
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their weights: those of words sum to 1, and SAME has the share of words that repeat the one before."""
+    """Distinct buckets of a text and their weights: those of words and those of bigrams sum to 1 each."""
     ws = words(text)
     read = units(ws)
     counts: dict[bytes, int] = {}
     for w in read:
         counts[w] = counts.get(w, 0) + 1
     total: dict[int, float] = {}
-    if same := sum(map(eq, ws, ws[1:])):
-        total[SAME] = same / len(ws)
+    if len(ws) > 1:
+        found, times = np.unique(bigrams(crcs(ws)), return_counts=True)
+        total = dict(zip(found.tolist(), (times / (len(ws) - 1)).tolist(), strict=True))
     for w, c in counts.items():
         found = features(w)
         share = c / (len(read) * len(found))
@@ -130,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.
     sample = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "__id")  # SAMPLE rows at most
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__id", "text"], na_position="first").drop_duplicates("__id")
+        rows = rows.sort_values(["__id", "text"], na_position="last").drop_duplicates("__id")
         delta, bias = train([t if isinstance(t, str) else None for t in rows["text"]], rows["__y"].tolist())
         return pd.DataFrame({"delta": [delta.astype(np.float32).tobytes()], "bias": [bias]})
 
@@ -140,12 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
     """docs with the probability of label 1."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS numbers
-    rest = docs.drop(name)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    rest = docs.drop(name).withColumn("text", F.col("text").cast("string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         delta, bias = sent.value
 
         def means(new: list[bytes]) -> np.ndarray:
@@ -160,18 +172,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
         sums = WordSums(rows, 1)
         for batch in batches:
             out: list[float] = []
-            for part in in_chunks(t if isinstance(t, str) else None for t in batch["text"]):
+            for part in in_chunks(x.as_py() for x in batch.column("text")):
                 lists = [words(t) for t in part]
                 read = [units(ws) for ws in lists]
                 n, of = (np.maximum([len(x) for x in some], 1) for some in (read, lists))
-                same = [sum(map(eq, ws, ws[1:])) for ws in lists]
-                z = sums.add(read)[:, 0] / n + delta[SAME] * np.asarray(same) / of + bias
+                pairs = [float(delta[bigrams(crcs(ws))].sum(dtype=np.float64)) for ws in lists]
+                z = sums.add(read)[:, 0] / n + np.asarray(pairs) / np.maximum(of - 1, 1) + bias
                 out += (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
-            yield batch.assign(**{name: out})
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
-    return rest.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())]))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
