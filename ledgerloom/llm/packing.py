@@ -4,14 +4,15 @@ Texts become ids by a tokenizer's file, with an end id after each document. Whol
 their own; what is left of each document goes, with others of its bin, to the sequences of that bin. There the cost of a
 piece of n ids is n + n * n / QUADRATIC; pieces are taken in descending order and each goes to the sequence of lowest cost
 that has room. A bin has just as many sequences as its ids need, so a piece may find no room: it is then cut over the
-roomiest sequences. All sequences of a bin but one are full. Bins are hashes of ids and hold about BIN_ROWS documents,
-so a task's memory is bounded however many documents there are; one document fills sequences without any bin.
+roomiest sequences. All sequences of a bin but one are full. Bins are hashes of ids and hold about BIN_ROWS documents and
+BIN_BYTES of text, so a task's memory is bounded by those and the longest text, however many documents there are.
 
 Null and empty texts are one end id. Rows without an id are left out; of rows that share an id the greatest text counts
 once. An empty table gives an empty result. Other columns are ignored.
 
-Ids are those that the `tokenizers` library gives for the file. Where the file's kind allows it, its merges run in a faster
-compiled encoder; tests hold both against each other.
+Ids are those that the `tokenizers` library gives for the file with add_special_tokens=False: a special token that stands in a
+text is one id. Where the file's kind allows it, its merges run in a faster compiled encoder, but for texts with such tokens;
+tests hold both against the library.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ END = 0
 #: Ids at which the quadratic part of the cost of attention equals the linear part.
 QUADRATIC = 512
 BIN_ROWS = 2000
+BIN_BYTES = 16_000_000
 #: Distinct chunks whose ids a worker keeps.
 KEPT = 400_000
 
@@ -85,16 +87,30 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.fast = fast_encoder(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.fast:
-            return [array("I", self.fast(t)).tobytes() for t in texts]
+    def slow(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.fast(t)).tobytes() for t in texts] if self.fast else self.slow(texts)
+
     def of(self, texts: list[str]) -> list[bytes]:
+        if not self.fast:
+            return self.slow(texts)
+        special = [k for k, t in enumerate(texts) if self.special and self.special.search(t)]
+        if special:
+            out = self.plain([t for k, t in enumerate(texts) if k not in set(special)])
+            for k, raw in zip(special, self.slow([texts[k] for k in special]), strict=True):
+                out.insert(k, raw)
+            return out
+        return self.plain(texts)
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens, by the fast encoder."""
         lists = [chunks(t) for t in texts]
         firsts = self.encode([x[0] for x in lists])
         new = set().union(*(x[1:] for x in lists)).difference(self.known)
@@ -195,7 +211,8 @@ def pack(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (null without with_ids where a piece fills a sequence),
     ids_crc32, doc_tokens, sequence_id, offset. Sequences are numbered within bins."""
     known = one_per_id(docs)
-    bins = max(1, -(-known.count() // BIN_ROWS))
+    rows, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bins = max(1, -(-rows // BIN_ROWS), -(-size // BIN_BYTES))
     return pieces(known, path, with_ids).withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(bins))).groupBy("bin").applyInPandas(fill, PACKED)
 
 
