@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and windows of high Shannon entropy in candidate strings.
 
 A candidate is a maximal run of 20 or more characters of the base64 alphabet that holds a digit and a letter. Its class
-is hex (only hex digits) or mixed. A window of WINDOW characters slides over it. The sum of c * log2(c) over the counts c
-of a window's characters changes by the counts of the two characters that enter and leave, so entropy is kept by
-incremental counts; a candidate with a window over its class's threshold becomes a span of kind entropy, unless the
-allow list knows it (UUIDs, dotted or dashed dates, repeated units, texts that say they are examples). All of it is
-DataFrame functions on single rows: there is no shuffle.
+is hex (only hex digits) or mixed. A window of WINDOW characters slides over it. The state holds the count of each
+character in the window; a step raises the count of the character that enters, lowers that of the one that leaves, and
+changes the sum of c * log2(c) over the counts c by those two. A candidate with a window over its class's threshold
+becomes a span of kind entropy. The allow list suppresses UUIDs, repeated units, digits alone, words with a short number
+and documented example keys as a whole; dates and words that say example are taken out first, and what is left is judged, so
+that they don't hide a secret beside them. All of it is DataFrame functions on single rows, linear in the length of the
+text: there is no shuffle.
 
 Null texts count as empty and have no spans. Repeated rows and rows without an id each get their row. An empty table
-gives an empty result. Other columns are kept by scan() and redact(), but for those that they add.
+gives an empty result. Other columns are kept by scan() and redact(), but for base and found, which scan() adds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,48 +32,65 @@ WINDOW = 20
 THRESHOLD = {"hex": 3.0, "mixed": 3.6}
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^\d{4}-\d{2}-\d{2}",
     r"^(.{1,8})\1+$",
-    r"(?i)example|sample|placeholder|xxxx",
     r"^[A-Za-z_/=+-]*\d{1,4}$",
     r"^[0-9+/_=-]*$",
+    r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=*$",
 )
+#: Parts that are no secrets; the rest of their candidate is judged without them.
+HARMLESS = r"(?i)(?:example|sample|placeholder|xxxx)[A-Za-z]*|(?<![0-9])\d{4}-\d{2}-\d{2}(?:T\d{2}(?:-?\d{2}){0,2}Z?)?(?![0-9])"
+#: Matches in a block of a scan: positions are added up by block, then within blocks.
+BLOCK = 256
+#: The first and last character of CANDIDATE's alphabet, by code.
+CODES = (43, 122)
+#: c * log2(c) for counts c, in units small enough that whole numbers can be added without drift.
+UNIT = 1 << 40
+TERMS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 1)]
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+SPAN = "struct<start:int,rank:int,kind:string,end:int,text:string>"
+
+
 def _matches(pattern: str, kind: str, rank: int, keep: str) -> str:
-    """SQL of the array of spans of pattern in __t: lengths of matches and of what lies between, added up. keep: a test of m, the match."""
+    """SQL of the array of spans of pattern in __t: lengths of matches and of what lies between, added up by block of
+    matches, then within each. keep: a test of m, the match."""
     q = _quoted(pattern)
+    part = f"sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size(z.m)) - 1)"
+    ahead = "z.g[i] + char_length(z.m[i])"
     return f"""if(__t rlike {q},
-      filter(transform(array(named_struct('m', regexp_extract_all(__t, {q}, 0), 'g', transform(split(__t, {q}, -1), x -> char_length(x)))), z ->
-        aggregate(z.m, named_struct('at', 0, 'i', 0, 'out', cast(array() as array<struct<start:int,rank:int,kind:string,end:int,text:string>>)),
-          (s, m) -> named_struct('at', s.at + z.g[s.i] + char_length(m), 'i', s.i + 1, 'out',
-            if({keep}, concat(s.out, array(named_struct('start', s.at + z.g[s.i], 'rank', {rank}, 'kind', '{kind}', 'end', s.at + z.g[s.i] + char_length(m), 'text', m))), s.out)),
-          s -> s.out))[0], x -> true),
-      cast(array() as array<struct<start:int,rank:int,kind:string,end:int,text:string>>))"""
+      transform(array(named_struct('m', regexp_extract_all(__t, {q}, 0), 'g', transform(split(__t, {q}, -1), x -> char_length(x)))), z ->
+        transform(array(sequence(0, cast((size(z.m) - 1) div {BLOCK} as int))), bs ->
+          transform(array(aggregate(transform(bs, b -> aggregate({part}, 0, (n, i) -> n + {ahead})), array(0), (o, n) -> concat(o, array(o[size(o) - 1] + n)))), o ->
+            flatten(transform(bs, b -> aggregate({part}, named_struct('at', o[b], 'out', cast(array() as array<{SPAN}>)),
+              (s, i) -> named_struct('at', s.at + {ahead}, 'out', transform(array(z.m[i]), m ->
+                if({keep}, concat(s.out, array(named_struct('start', s.at + z.g[i], 'rank', {rank}, 'kind', '{kind}', 'end', s.at + z.g[i] + char_length(m), 'text', m))), s.out))[0]),
+              s -> s.out))))[0])[0])[0],
+      cast(array() as array<{SPAN}>))"""
 
 
 def _entropy(m: str) -> str:
-    """SQL of the greatest entropy of a window of m: the state is the window's sum of c * log2(c)."""
-    f = lambda c: f"({c} * log2(greatest({c}, 1)))"
-    count = lambda w, ch: f"(char_length({w}) - char_length(replace({w}, {ch}, '')))"
-    first = f"aggregate(array_distinct(split(substring({m}, 1, {WINDOW}), '')), 0D, (s, ch) -> s + if(ch = '', 0D, {f(count(f'substring({m}, 1, {WINDOW})', 'ch'))}))"
-    old, gone = f"substring({m}, i, {WINDOW})", f"substring({m}, i, 1)"
-    rest, came = f"substring({m}, i + 1, {WINDOW - 1})", f"substring({m}, i + {WINDOW}, 1)"
-    leaves = f"{f(count(old, gone))} - {f(f'({count(old, gone)} - 1)')}"
-    enters = f"{f(f'({count(rest, came)} + 1)')} - {f(count(rest, came))}"
-    return f"""(log2({WINDOW}D) - transform(array({first}), s0 -> if(char_length({m}) = {WINDOW}, s0,
-      aggregate(sequence(1, char_length({m}) - {WINDOW}), named_struct('s', s0, 'least', s0),
-        (a, i) -> transform(array(a.s - ({leaves}) + ({enters})), s -> named_struct('s', s, 'least', least(a.least, s)))[0], a -> a.least)))[0] / {WINDOW})"""
+    """SQL of the greatest entropy of a window of m. The state: counts n by character, their sum of c * log2(c), its least so far."""
+    first, last = CODES
+    terms = f"array({', '.join(f'{x}L' for x in TERMS)})"
+    change = f"if(z.old = z.new, 0L, {terms}[a.n[z.new] + 1] - {terms}[a.n[z.new]] - if(z.old < 0, 0L, {terms}[a.n[z.old]] - {terms}[a.n[z.old] - 1]))"
+    counts = "if(z.old = z.new, a.n, transform(a.n, (c, k) -> c + if(k = z.new, 1, 0) - if(k = z.old, 1, 0)))"
+    return f"""transform(array(transform(filter(split({m}, ''), c -> c <> ''), c -> ascii(c) - {first})), cs ->
+      aggregate(sequence(0, size(cs) - 1), named_struct('n', array_repeat(0, {last - first + 1}), 's', 0L, 'least', {1 << 60}L),
+        (a, i) -> transform(array(named_struct('new', cs[i], 'old', if(i >= {WINDOW}, cs[greatest(i - {WINDOW}, 0)], -1))), z ->
+          transform(array(a.s + {change}), s -> named_struct('n', {counts}, 's', s, 'least', if(i >= {WINDOW - 1}, least(a.least, s), a.least)))[0])[0],
+        a -> (log2({WINDOW}D) - a.least / {float(UNIT)}D / {WINDOW})))[0]"""
 
 
 def _suspect() -> str:
+    """SQL of whether candidate m has a window over its class's threshold: r is what is left of it."""
     allowed = " or ".join(f"m rlike {_quoted(p)}" for p in ALLOWED)
-    return f"""if(not (m rlike '[0-9]' and m rlike '[A-Za-z]') or ({allowed}), false,
-      if(m rlike '^[0-9A-Fa-f]+$', {_entropy('m')} > {THRESHOLD['hex']}D, {_entropy('m')} > {THRESHOLD['mixed']}D))"""
+    return f"""if({allowed}, false, transform(array(regexp_replace(m, {_quoted(HARMLESS)}, '')), r ->
+      if(char_length(r) < {WINDOW} or not (r rlike '[0-9]' and r rlike '[A-Za-z]') or r rlike {_quoted(ALLOWED[2])}, false,
+        {_entropy('r')} > if(r rlike '^[0-9A-Fa-f]+$', {THRESHOLD['hex']}D, {THRESHOLD['mixed']}D)))[0])"""
 
 
 def spans(text: Column) -> dict[str, Column]:
