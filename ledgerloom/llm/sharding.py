@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, buckets_for, running, settle
+from .common import BUCKET_ROWS, buckets_for, running, settle, unsettle
 
 #: Bytes that each document counts beside its text's.
 OVERHEAD = 16
@@ -65,8 +66,9 @@ def _passed(edges: list[float], x: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x))
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """rows (doc_id, size, text_crc32, g) with n, the size of the group, and label, the shard that it ends in."""
+def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS, held: list[DataFrame] | None = None) -> DataFrame:
+    """rows (doc_id, size, text_crc32, g) with n, the size of the group, and label, the shard that it ends in. held gets the
+    tables that the result reads."""
     spark, link = rows.sparkSession, ["g", "text_crc32", "size"]  # texts are equal where all three are
     first = rows.withColumn("label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int"))
     votes = first.groupBy(*link, "label").agg(F.count(F.lit(1)).alias("c"))
@@ -102,9 +104,10 @@ def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
             room[r.target] -= r.held
         placed = placed.unionByName(whole.select(placed.columns))
         pieces += place(laid.where("not whole").collect(), room)  # one for each end of a shard at most
-    known = groups.select(*link, "n").join(placed.select(*link, "target"), link, "left")
+    known = settle(groups.select(*link, "n").join(placed.select(*link, "target"), link, "left"))  # a plain table: a hot text's rows can be dealt out in the join
     out = first.drop("label").join(known, link)
-    made = spark.createDataFrame(pieces, "g long, text_crc32 long, size long, n long, from long, to long, piece int")
+    names = ["g", "text_crc32", "size", "n", "from", "to", "piece"]
+    made = spark.createDataFrame(pa.table({c: pa.array([x[k] for x in pieces], pa.int64()) for k, c in enumerate(names)})).withColumn("piece", F.col("piece").cast("int"))
     pieced = first.drop("label").join(F.broadcast(made.select(*link, "n").distinct()), link)  # not yet dealt by group: the largest are here
     pieced = running(pieced, link, ["doc_id"], F.lit(1), "row", buckets_for(rows.count())).join(F.broadcast(made.drop("n")), link).where("row >= from and row < to").withColumn("label", F.col("piece"))
     spare = [max(r, 0.0) for r in room]
@@ -115,12 +118,16 @@ def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     lone = lone.withColumn("label", _passed(edges, F.col("before") + F.col("size") / 2))
     columns = [*rows.columns, "n", "label"]
     whole = out.where("n > 1 and target is not null").withColumn("label", F.col("target"))
+    if held is not None:
+        held += [groups, small, left, known]
     return whole.select(columns).unionByName(pieced.select(columns)).unionByName(lone.select(columns))
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, shard, slot."""
-    rows = settle(propagate(_sized(docs), shards))
+    held: list[DataFrame] = []
+    rows = settle(propagate(_sized(docs), shards, held=held))
+    unsettle(*held)
     n, total, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     per = buckets_for(-(-n // shards))
     loads = {r.label: r.load for r in rows.groupBy("label").agg(F.sum("size").alias("load")).collect()}
