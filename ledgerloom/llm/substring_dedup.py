@@ -8,7 +8,7 @@ words before the anchors are equal. Of equal windows the first by (doc_id, start
 Words are compared, not hashes.
 
 Null texts have no words. Rows without an id are left out; of rows that share an id the greatest text counts once. An
-empty table gives an empty result. Extra columns don't matter; remove() keeps them for rows whose ids are their own.
+empty table gives an empty result. Extra columns don't matter; results have columns of their own only.
 """
 
 from __future__ import annotations
