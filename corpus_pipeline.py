@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
-from ledgerloom.llm.common import settle, table
+from ledgerloom.llm.common import settle, table, unsettle
 from ledgerloom.llm.queries import tokenizer_path
 
 
@@ -41,12 +41,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("jaccard_join", near_duplicates), ("decontaminate", benchmark_passages), ("secret_scan", secrets), ("packing", pack)]
 
-#: A trained network and a tokenizer are beyond SQL; tests/llm holds run() against a brute-force version.
+#: A trained network and a tokenizer are beyond SQL; tests/llm holds each stage against a brute-force version, but for the
+#: languages, which it takes from the operator.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        unsettle(before)
     return docs
