@@ -15,6 +15,7 @@ from ..operators import chain, clustering, colored, extract, features, graph, me
 from ..operators import transactions as tx
 from ..operators.storage import settle, shared_dir
 from ..sources import ledger_view as view
+from ..sources.blockfile import read_blocks
 from ..sources.series import read_block_dates, read_market_price
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -756,6 +757,68 @@ def blockfile_parse(spark, d):
     return _block_files(spark, d)
 
 
+#: Days of the ledger view in one block file.
+DAYS = 200
+
+
+def _written(spark, d) -> str:
+    """A folder of block files, a block for each day of the ledger view, DAYS of them in a file."""
+    import pandas as pd
+
+    from ..sources.blockfile import file_name, write_block, write_transaction
+
+    rows = view.created(spark, d).groupBy("block_num", "position").agg(F.array_sort(F.collect_list(F.struct("vout", "value"))).alias("outs"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for number, day in frame.sort_values(["block_num", "position"]).groupby("block_num"):
+            made = [write_transaction([(bytes(32), k, b"\x51", k, [])], [(int(o["value"]) * (int(o["vout"]) % 3 > 0), b"\x51") for o in outs]) for k, outs in enumerate(day["outs"])]
+            out.append(write_block(int(number).to_bytes(32, "little"), made)[0])
+        return pd.DataFrame({"num_file": [int(frame["block_num"].iloc[0]) // DAYS], "raw": [b"".join(out)]})
+
+    folder = f"{shared_dir(spark)}/blocks/{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in rows.groupBy(F.expr(f"block_num div {DAYS}")).applyInPandas(run, "num_file int, raw binary").toLocalIterator():
+        to = fs.create(path(f"{folder}/{file_name(r.num_file)}"))
+        to.write(bytearray(r.raw))
+        to.close()
+    return folder
+
+
+def _day():
+    return enc.little_endian(F.substring("previous_hash", 1, 8)).alias("block_num")
+
+
+@query(
+    """SELECT * FROM (SELECT block_num, CAST(row_number() OVER (PARTITION BY block_num ORDER BY position) - 1 AS BIGINT) AS position, CAST(count(*) OVER (PARTITION BY block_num) AS BIGINT) AS num_transactions,
+    CAST(1 AS BIGINT) AS num_in, CAST(n AS BIGINT) AS num_out, CAST(v AS BIGINT) AS value FROM (SELECT block_num, position, count(CASE WHEN vout % 3 > 0 THEN 1 END) AS n, coalesce(sum(CASE WHEN vout % 3 > 0 THEN value END), 0) AS v FROM created GROUP BY block_num, position) q) q WHERE block_num BETWEEN 400 AND 1399""",
+    "created",
+)
+def blockfile_scan(spark, d):
+    """Files of a folder by their numbers; the others aren't opened."""
+    t = read_blocks(spark, _written(spark, d), files=list(range(400 // DAYS, 1400 // DAYS))).select(_day(), "num_transactions", F.posexplode("transactions").alias("position", "t"))
+    value = F.aggregate("t.outputs", F.lit(0).cast("long"), lambda n, o: n + o.value)
+    return t.select("block_num", F.col("position").cast("long").alias("position"), F.col("num_transactions").cast("long").alias("num_transactions"), F.size("t.inputs").cast("long").alias("num_in"), F.size("t.outputs").cast("long").alias("num_out"), value.alias("value"))
+
+
+@query("SELECT block_num, CAST(count(DISTINCT position) AS BIGINT) AS num_transactions, CAST(block_num // 200 AS BIGINT) AS num_file FROM created GROUP BY block_num", "created")
+def blockfile_headers(spark, d):
+    """The index scan: headers of all files."""
+    return read_blocks(spark, _written(spark, d), headers_only=True).select(_day(), F.col("num_transactions").cast("long").alias("num_transactions"), F.col("num_file").cast("long").alias("num_file"))
+
+
+@query(
+    """SELECT block_num, CAST(p AS BIGINT) AS position, CAST(k AS BIGINT) AS vout, value FROM (SELECT block_num, dense_rank() OVER (PARTITION BY block_num ORDER BY position) - 1 AS p,
+    row_number() OVER (PARTITION BY block_num, position ORDER BY vout, value) - 1 AS k, vout, value FROM created) q WHERE vout % 3 > 0 AND value > 0""",
+    "created",
+)
+def blockfile_extract(spark, d):
+    """Created outputs of the transactions of files."""
+    found = read_blocks(spark, _written(spark, d)).withColumn("num", _day())
+    return extract.created_txos(extract.transactions(found)).select("block_num", "position", F.col("vout").cast("long").alias("vout"), "value")
+
+
 @query("SELECT c_custkey, CAST(c_custkey - (SELECT min(c_custkey) FROM customer) AS BIGINT) AS num FROM customer")
 def chain_link(spark, d):
     """A chain of customers by key, with short branches beside it."""
