@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..operators.storage import settle, shared_dir, unsettle
 
-__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "one_per_id", "running", "settle", "shared_dir", "small_batches", "table", "texts", "unsettle"]
+__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "one_per_id", "release", "running", "settle", "shared_dir", "small_batches", "table", "texts", "unsettle"]
 
 #: White space of the word rules: a space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,6 +39,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Gives memory that a worker's task no longer uses back to the system: workers stay, beside others and the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+    if trim:
+        trim(0)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text), one row for each id: rows without an id are left out, of rows that share an id the
     greatest text stays (so repeated rows count once), null texts become empty."""

@@ -1,19 +1,30 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-The tokens of a document are hashes of its distinct shingles. Documents of equal word sequences are one class, and classes
-are joined. Tokens are ordered: first the rare ones, then the frequent ones, each by hash. Of two sets of Jaccard
-similarity t or more, the first n - ceil(t * n) + K tokens of each have K in common at least. So with prefixes that are
-longer by K - 1, either a rare token is shared, and rare tokens are indexed singly, or K frequent ones are, and frequent
-tokens are indexed in combinations of K; those of sets of over COMBINED tokens are indexed singly. Every pair that may link meets in an entry of this index.
-
-Entries don't list all pairs of their classes. First every class of an entry is verified against the entry's centre, the
-class with most frequent tokens for its size, usually the text that the others are variants of. What links becomes
-components. Then only entries that still hold several components compare their classes across components, where sizes
-allow a link: small entries by pairs, large ones in blocks (linked_blocks). Links within a component change nothing. Verifying first compares counts of tokens by
-leading bits, which bound the intersection, then whole sets, exactly.
-
-Frequent tokens are those of the first index with FREQUENT classes or more, MOST of them at most: which ones are counted as
-frequent changes costs, never results. Tokens are 64-bit hashes of shingles.
+The tokens of a document are hashes of its distinct shingles. Documents of equal word sequences are one class; one document
+of each class is indexed, and classes are joined. Tokens are ordered: first the rare ones, then the frequent ones, each by
+hash. Of two sets of Jaccard similarity t or more, the first common token lies within the first n - ceil(t * n) + 1 tokens of
+each, the prefix. If it is rare they share a single of the index. Else all that they share are frequent tokens, and the
+prefix, longer by s - 1 tokens, holds s common ones; frequent tokens fall into G groups by their low bits, so with s = G + 1
+two of them are in one group. Frequent tokens are indexed by pairs within a group: some tokens of the longer prefix times
+two, for sets of any size. G goes by powers of two of n; sets near such a bound are indexed for both sides.
+So every pair that may link meets in an entry of this index.
+
+Entries don't list all pairs of their classes. Every class of an entry is verified against the entry's centre, the class with
+most frequent tokens for its size, usually the text that the others are variants of. What links becomes components, and only
+entries that still hold several of them go on. Where they have LEAF classes at most, one task compares the signatures of
+classes of different components, and what those allow is verified. Larger ones go by an index of differences. Let D be the symmetric
+difference of a class's set and the centre's. If two classes link and not both link with the centre, their D have tokens in
+common, about half of each D (bounds in differences()). So D is indexed in its turn, by prefixes again, with the tokens that
+the whole family shares gone: tokens of the class alone come first, those of the centre that it lacks last. Classes that meet there
+are an entry again, without the old centre, so rounds end as the centres' rank falls. Links within a component change nothing
+and are not looked for.
+
+Verifying first compares odd sketches (parities of counts by leading bits), which bound the difference of two sets from below,
+then whole sets. Members of a centre come in chunks, each with one copy of the centre's set.
+
+Frequent tokens are those of the prefixes by hash alone of FREQUENT classes or more, up to MOST of the most frequent: which
+ones count as frequent changes costs, never results. Tokens are 64-bit hashes of shingles; two sets of m and n shingles are
+taken wrongly with a probability of about m * n / 2**64.
 
 Documents without words or text have no tokens and link with nothing. Rows without an id are left out; of rows that share
 an id the greatest text counts once. An empty table gives an empty result. Other columns don't matter.
@@ -22,35 +33,38 @@ an id the greatest text counts once. An empty table gives an empty result. Other
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import combinations, count
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, one_per_id, settle, unsettle
+from .common import components, one_per_id, release, settle, unsettle
 from .windows import powers
 
 #: Words of a shingle and similarity as a fraction, in hundredths, unless a caller says otherwise.
 SHINGLE = 4
 SIMILAR = 85
-#: Tokens in a combination of frequent ones.
-K = 2
-#: Set size up to which frequent tokens are indexed in combinations; of larger sets there would be too many.
-COMBINED = 400
-FREQUENT = 16
-MOST = 50_000
-#: Classes of an entry up to which its pairs are made as rows, and classes of a block for larger ones.
-PAIRED = 8
-BLOCK = 512
-#: Ids of documents, 16 bytes each, that are sent to all executors to pick texts; more are joined by shuffle.
+FREQUENT = 9
+MOST = 1_000_000
+#: Classes of an entry up to which one task compares the signatures of all of them.
+LEAF = 2000
+#: Members of a centre that its usual differences are taken from at least.
+USUAL = 9
+#: Classes that one copy of a centre's set is compared with.
+CHUNK = 64
+#: Texts whose tokens are held together.
+AT_ONCE = 200
+#: Ids, 16 bytes each, that are sent to all executors; more are joined by shuffle.
 SENT = 500_000
 
 _rng = np.random.default_rng(31)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-#: Lower-cases A-Z and makes the spaces of the word rule one kind.
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+#: Lower-cases A-Z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -80,54 +94,161 @@ def needed(n: int, similar: int = SIMILAR) -> int:
     return -(-similar * n // 100)
 
 
+def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y; both are sorted."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
+
 def links(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = int(within(a, b).sum())
     return both > 0 and 100 * both >= similar * (len(a) + len(b) - both)
 
 
 def signature(t: np.ndarray) -> bytes:
-    """Counts of sorted tokens by their leading bits, 8 to 16 tokens in each on average: a few hundredths of the set."""
-    k = max(0, len(t).bit_length() - 4)
-    at = (t >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(t), np.int64)
-    return np.minimum(np.bincount(at, minlength=1 << k), 65535).astype("<u2").tobytes()
+    """An odd sketch: the parities of the counts of tokens by their leading bits, n to 2 n of them for n tokens, 1024 at least."""
+    k = max(10, len(t).bit_length())
+    return np.packbits(np.bincount((t >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint8) & 1).tobytes()
+
+
+def folded(signs: np.ndarray) -> np.ndarray:
+    """Rows of packed parities by one leading bit less."""
+    bits = np.unpackbits(signs, axis=1)
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
 
 
 def may_link(a: bytes, b: bytes, na: int, nb: int, similar: int = SIMILAR) -> bool:
-    """False only if sets of these signatures and sizes cannot link: no bits in common hold more than the lesser count."""
-    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
-    if x.max(initial=0) == 65535 or y.max(initial=0) == 65535:
-        return True
-    n = min(len(x), len(y))
-    most = int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
-    return 100 * most >= similar * (na + nb - most)
-
-
-def ordered(all_tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rare tokens, then frequent ones, and how many are rare. Both arguments are sorted."""
-    if not len(frequent):
-        return all_tokens, len(all_tokens)
-    at = np.minimum(np.searchsorted(frequent, all_tokens), len(frequent) - 1)
-    often = frequent[at] == all_tokens
-    return np.concatenate((all_tokens[~often], all_tokens[often])), int((~often).sum())
-
-
-def entries(all_tokens: np.ndarray, frequent: np.ndarray, similar: int = SIMILAR) -> tuple[np.ndarray, float]:
-    """Index keys of one set, and the share of its tokens that are frequent. Sets that link differ in size by 100 - similar % at most,
-    so sets around COMBINED tokens, which are indexed in both ways, meet those on either side."""
-    n = len(all_tokens)
-    order, rare = ordered(all_tokens, frequent)
-    prefix = order[: min(n, n - needed(n, similar) + K)]
-    singles, often = prefix[: min(rare, len(prefix))], prefix[rare:]
-    keys = [singles]
-    if K <= n and 100 * n >= similar * COMBINED or n < K:
-        keys.append(often)
-    if len(often) >= K and similar * n <= 100 * COMBINED:
-        pairs = np.asarray(list(combinations(range(len(often)), K)))
-        mixed = np.zeros(len(pairs), np.uint64)
-        for c in range(K):
-            mixed = (mixed + often[pairs[:, c]]) * np.uint64(0x9E3779B97F4A7C15)
-        keys.append(mixed ^ np.uint64(0x5851F42D4C957F2D))
-    return np.concatenate(keys), 1 - rare / max(n, 1)
+    """False only if sets of these signatures and sizes cannot link: a token in one set alone changes one parity, so sets
+    differ by as many tokens as parities do at least."""
+    x, y = sorted((np.frombuffer(a, np.uint8)[None, :], np.frombuffer(b, np.uint8)[None, :]), key=lambda v: v.shape[1])
+    while y.shape[1] > x.shape[1]:
+        y = folded(y)
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + similar) <= (100 - similar) * (na + nb)
+
+
+def find(root: dict[int, int], c: int) -> int:
+    while root.setdefault(c, c) != c:
+        root[c] = c = root[root[c]]
+    return c
+
+
+def near_pairs(ids: list[int], parts: list[int], sizes: list[int], signs: list[bytes], similar: int, forest: bool) -> list[tuple[int, int]]:
+    """The pairs across components whose sizes and signatures allow a link; with forest only as many as would join them all.
+    Signatures of sizes that fit are of one length or the next."""
+    by: dict[int, list[int]] = {}
+    for k, x in enumerate(signs):
+        by.setdefault(len(x), []).append(k)
+    part, n, out, root = np.asarray(parts), np.asarray(sizes), [], {}
+    rows = lambda at: np.frombuffer(b"".join([signs[k] for k in at]), np.uint8).reshape(len(at), -1)
+    for length, own in by.items():
+        more = by.get(2 * length, [])
+        table = np.concatenate([rows(own), folded(rows(more))]) if more else rows(own)
+        at = np.asarray(own + more)
+        for i, k in enumerate(own[: len(at) - 1]):
+            rest = at[i + 1 :]
+            apart = np.bitwise_count(table[i + 1 :] ^ table[i]).sum(1, dtype=np.int64)
+            ok = (apart * (100 + similar) <= (100 - similar) * (n[k] + n[rest])) & (part[rest] != part[k])
+            for j in rest[ok & (100 * np.minimum(n[k], n[rest]) >= similar * np.maximum(n[k], n[rest]))].tolist():
+                x, y = find(root, parts[k]), find(root, parts[j])
+                if x != y or not forest:
+                    root[x] = y
+                    out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+    return out
+
+
+def mixed(*parts: np.ndarray | np.uint64) -> np.ndarray:
+    """Hashes of tuples of numbers."""
+    out = np.zeros(1, np.uint64)
+    for p in parts:
+        out = (out + p) * MIX
+        out = out ^ (out >> np.uint64(31))
+    return out
+
+
+def groups(band: int, similar: int) -> int:
+    """Groups of frequent tokens for sets of 2**band to 2**(band + 1) - 1 tokens; 0 where they share too few for pairs."""
+    g = max(1, (100 - similar) * (1 << band) // 100)
+    return g if g + 1 <= needed(1 << band, similar) else 0
+
+
+def paired(f: np.ndarray, g: int, kind: int) -> np.ndarray:
+    """Keys of the pairs of f that are in one of g groups by their low bits."""
+    at = f % np.uint64(g)
+    order = np.lexsort((f, at))
+    f, at, out = f[order], at[order], [np.zeros(0, np.uint64)]
+    for j in range(1, len(f)):
+        same = at[j:] == at[:-j]
+        if not same.any():
+            break
+        out.append(mixed(np.uint64(kind), f[:-j][same], f[j:][same]))
+    return np.concatenate(out)
+
+
+def combined(often: np.ndarray, spare: int, band: int, similar: int) -> np.ndarray:
+    """Keys of the frequent tokens of a set, sorted by hash, whose prefix has room for spare of them."""
+    g = groups(band, similar)
+    return paired(often[: spare + g], g, band) if g else often[:spare] ^ MIX2
+
+
+def entries(t: np.ndarray, frequent: np.ndarray, similar: int = SIMILAR, n: int | None = None) -> np.ndarray | None:
+    """Index keys of one set of n tokens. t are all of them or the first ones by hash; None if more must be known. Both arrays are sorted."""
+    n = len(t) if n is None else n
+    prefix = n - needed(n, similar) + 1
+    often = within(t, frequent)
+    rare = t[~often][:prefix]
+    if len(rare) == prefix:  # too few others to link by frequent ones alone
+        return rare
+    if len(t) < n:
+        return None
+    keys, band = [rare], n.bit_length() - 1
+    for b in (band, band + 1):
+        if b == band or 100 * n // similar >= 1 << b:
+            keys.append(combined(t[often], prefix - len(rare), b, similar))
+    return np.unique(np.concatenate(keys))
+
+
+def differences(x: np.ndarray, c: np.ndarray, frequent: np.ndarray, similar: int = SIMILAR, usual: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the difference D of set x and centre c: x meets every class that it links with and that isn't in one component with
+    it by links with c. With d = |D|, and a and m the sizes of x and c, sets that link differ by at most
+    f * (a + b) tokens, f = (100 - similar) / (100 + similar), and D and the other's D' have (d + d' - that) / 2 in common.
+    One of two classes doesn't link with c, so its D is larger than f * (b + m): for the other this leaves more than
+    (d + f * (m - a)) / 2. A class that doesn't link with c meets those that do by at least
+    (d - f * (a + m) + 1 - f) / 2, as b is at most m + d' there, and d' at least 1. And by d less what x can differ by at all.
+    Tokens that are frequent, or the centre's, go by pairs in g groups where over g are in common for certain, as they are for two
+    classes that don't link with c. One that links with c and has too few goes by singles; the others then add singles,
+    but for those that are too far off. usual are tokens in the D of most classes of c, for which they come last. Keys: 1 are singles, 2 pairs between the two sorts of classes, 3 pairs within the sort that doesn't link with c."""
+    a, m, s = len(x), len(c), similar
+    here = within(x, c)
+    own, lost = x[~here], c[~within(c, x)]
+    d, both = len(own) + len(lost), a - len(own)
+    often = within(own, frequent)
+    late = within(own, usual) if usual is not None else np.zeros(len(own), bool)
+    gone = within(lost, usual) if usual is not None else np.zeros(len(lost), bool)
+    rare, rest = own[~often & ~late], np.concatenate((own[often & ~late], lost[~gone], own[late], lost[gone]))
+    g = max(1, (100 - s) * m // 800) if (100 - s) * m >= 100 + s else 0
+    far = d - (100 - s) * (a + 100 * a // s) // (100 + s)
+    least = max(1, far)
+    half = max(least, (d * (100 + s) + (100 - s) * (m - a)) // (2 * (100 + s)) + 1)
+
+    def single(kind: int, common: int) -> list[np.ndarray]:
+        return [mixed(np.uint64(kind), rare[: max(0, d - common + 1)])]
+
+    def frequents(kind: int, common: int, g: int) -> list[np.ndarray]:
+        spare = d - common + 1 - len(rare)
+        if spare <= 0:
+            return []
+        return [paired(rest[: spare + g], g, kind) if g else mixed(np.uint64(kind), rest[:spare])]
+
+    if both > 0 and 100 * both >= s * (a + m - both):
+        return np.concatenate(single(1, half) + (frequents(2, half, g) if 0 < g < half else frequents(1, half, 0)))
+    low = max(least, -(-(d * (100 + s) - (100 - s) * (a + m) + 2 * s) // (2 * (100 + s))))
+    out = frequents(3, half, g)
+    if far > (100 - s) * (m + 100 * m // s) // (100 + s):  # too far off for those that link with c
+        return np.concatenate(single(1, half) + out)
+    if g:
+        out += frequents(2, max(low, g + 1), g)
+    if not g or far * s < g * (100 + s):
+        out += frequents(1, low, 0)
+    return np.concatenate(single(1, min(low, half)) + out)
 
 
 def class_of(raw: bytes, salt: int) -> tuple[int, bytes]:
@@ -136,190 +257,362 @@ def class_of(raw: bytes, salt: int) -> tuple[int, bytes]:
     return int.from_bytes(hashlib.blake2b(full, digest_size=8, salt=salt.to_bytes(4, "little")).digest(), "little", signed=True), full
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, int]:
+CLASS_NAMES = ["doc_id", "id", "words", "n_shingles", "first", "sign"]
+CLASS_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, id, n_shingles, first, sign): id is the number of the document's words, null where there are none; first are
-    the tokens of its prefix by hash alone, sign its signature. Should two word sequences get one number, all are numbered anew, with another salt."""
+    the first tokens by hash alone, some more than the prefix, sign the signature. Should two word sequences get one
+    number, all are numbered anew, with another salt."""
     for salt in count():
 
-        def run(batches: Iterator[pd.DataFrame], salt: int = salt) -> Iterator[pd.DataFrame]:
+        def one(doc_id: int, text: str, salt: int = salt) -> tuple:
+            raw = normal(text)
+            t = tokens(raw, shingle)
+            prefix = len(t) - needed(len(t), similar) + 1
+            return doc_id, *(class_of(raw, salt) if raw else (None, None)), len(t), t[: prefix + prefix // 4 + 8].view(np.int64), signature(t)
+
+        def run(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                    raw = normal(text)
-                    t = tokens(raw, shingle)
-                    out.append((doc_id, *(class_of(raw, salt) if raw else (None, None)), len(t), t[: len(t) - needed(len(t), similar) + 1].view(np.int64), signature(t)))
-                ids = pd.array([x[1] for x in out], "Int64")
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "id": ids, "words": [x[2] for x in out], "n_shingles": [x[3] for x in out], "first": [x[4] for x in out], "sign": [x[5] for x in out]})
-
-        rows = settle(docs.mapInPandas(run, "doc_id long, id long, words binary, n_shingles long, first array<long>, sign binary"))
+                for i in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(i, AT_ONCE)
+                    out = [one(d.as_py(), t.as_py()) for d, t in zip(part.column("doc_id"), part.column("text"), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), CLASS_KINDS, strict=True)], CLASS_NAMES)
+
+        rows = settle(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, id long, words binary, n_shingles long, first array<long>, sign binary"))
         twice = rows.where("id is not null").groupBy("id").agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x <> y")
         if not twice.take(1):
-            return rows, salt
+            return rows
         unsettle(rows)
 
 
-def _index(docs: DataFrame, frequent: np.ndarray, salt: int, shingle: int, similar: int) -> DataFrame:
-    """(key, id, n, often): index entries of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST numbers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = sent.value
-        for batch in batches:
-            keys, ids, sizes, shares = [], [], [], []
-
-            def held() -> pd.DataFrame:
-                lengths = [len(k) for k in keys]
-                return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "id": np.repeat(ids, lengths), "n": np.repeat(sizes, lengths), "often": np.repeat(shares, lengths)})  # noqa: B023
-
-            for text in batch["text"]:
-                raw = normal(text)
-                if not raw:
-                    continue
-                t = tokens(raw, shingle)
-                found, share = entries(t, often, similar)
-                keys.append(found)
-                ids.append(class_of(raw, salt)[0])
-                sizes.append(len(t))
-                shares.append(int(1000 * share))
-                if len(keys) >= 500:
-                    yield held()
-                    keys, ids, sizes, shares = [], [], [], []
-            if keys:
-                yield held()
-
-    return docs.select("text").mapInPandas(run, "key long, id long, n int, often int")
-
-
-def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int, similar: int) -> DataFrame:
-    """The pairs (a, b) that link, a settled frame. signs has (id, rep, n, sign) of classes. Pairs whose signatures rule a
-    link out go first; whole sets are made and sent for what is left only."""
-    of = lambda c: signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}"))
-
-    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = [may_link(*x, similar) for x in zip(batch["sa"], batch["sb"], batch["na"].tolist(), batch["nb"].tolist(), strict=True)]
-            yield batch.loc[ok, ["a", "b"]]
-
-    left = settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(sift, "a long, b long"))
-    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().join(signs.select("id", "rep"), "id")
-    ids = settle(ids.select("id", F.col("rep").alias("doc_id")))
-    sets = settle(token_sets(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id"), shingle))
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similar) for x, y in zip(batch["ta"], batch["tb"], strict=True)]
-            yield batch.loc[ok, ["a", "b"]]
-
-    out = settle(both.mapInPandas(run, "a long, b long"))
-    unsettle(left, ids, sets)
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows as a settled frame, broadcast while it has SENT rows at most."""
+    rows = settle(rows)
+    out = F.broadcast(rows) if rows.count() <= SENT else rows
+    out._settled_at = rows._settled_at
     return out
 
 
-def block_links(rows: pd.DataFrame, similar: int = SIMILAR) -> pd.DataFrame:
-    """A forest of the links between two blocks (side 0 and 1) of token sets whose components differ: products of incidence
-    matrices give all intersections."""
-    sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
-    size = np.asarray([len(t) for t in sets])
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = often > 1
-    place = np.cumsum(kept) - 1
-    row = np.repeat(np.arange(len(sets)), size)[kept[column]]
-    column = place[column[kept[column]]]
-    side, part = rows["side"].to_numpy(), rows["component"].to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    both = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, int(kept.sum()), 8192):
-        here = (column >= first) & (column < first + 8192)
-        table = np.zeros((len(sets), 8192), np.float32)
-        table[row[here], column[here] - first] = 1
-        both += table[left] @ table[right].T
-    both = np.rint(both).astype(np.int64)
-    ok = (100 * both >= similar * (size[left][:, None] + size[right][None, :] - both)) & (both > 0) & (part[left][:, None] != part[right][None, :])
-    root = {c: c for c in part.tolist()}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    ids, out = rows["id"].tolist(), []
-    for i, j in np.argwhere(ok).tolist():
-        x, y = find(int(part[left[i]])), find(int(part[right[j]]))
-        if x != y:
-            root[x] = y
-            out.append((ids[left[i]], ids[right[j]]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def block_sift(rows: pd.DataFrame, similar: int = SIMILAR) -> pd.DataFrame:
-    """The pairs between two blocks whose signatures allow a link, across components; where those are most of a family, one
-    row without a pair: whole sets are compared there."""
-    n, part = rows["n"].to_numpy(), rows["component"].to_numpy()
-    side, ids = rows["side"].to_numpy(), rows["id"].to_numpy()
-    by_length: dict[int, list[int]] = {}
-    signs = [np.frombuffer(x, "<u2").astype(np.int32) for x in rows["sign"]]
-    for k, x in enumerate(signs):
-        by_length.setdefault(len(x), []).append(k)
-    found = []
-    for p, xs in by_length.items():
-        for q, ys in by_length.items():
-            left, right = np.asarray([k for k in xs if side[k] == 0], np.int64), np.asarray([k for k in ys if side[k] == 1], np.int64)
-            if not len(left) or not len(right) or max(p, q) > 2 * min(p, q):  # sizes that fit differ by less
-                continue
-            folded = lambda at: np.stack([signs[k].reshape(min(p, q), -1).sum(1) for k in at])  # noqa: B023, E731
-            x, y = folded(left), folded(right)
-            for i, k in enumerate(left.tolist()):
-                most = np.minimum(x[i][None, :], y).sum(1)
-                most = np.where((x[i].max() >= 65535) | (y.max(1) >= 65535), np.minimum(n[k], n[right]), most)
-                ok = (100 * most >= similar * (n[k] + n[right] - most)) & (part[right] != part[k])
-                found += [(ids[k], b) for b in ids[right[ok]].tolist()]
-    if len(found) > 4 * len(rows):
-        found = [(None, None)]
-    at = [int(rows[c].iloc[0]) for c in ("home", "i", "other", "j")]
-    out = pd.DataFrame({"a": pd.array([x for x, _ in found], "Int64"), "b": pd.array([y for _, y in found], "Int64")})
-    for c, v in zip(("home", "i", "other", "j"), at, strict=True):
-        out[c] = v
-    return out[["home", "i", "other", "j", "a", "b"]]
-
-
-def linked_blocks(mixed: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int, similar: int) -> DataFrame:
-    """(a, b): links that join the components of classes that meet in entries (key, id, component, m) of many classes.
-    Entries of one family have nearly the same classes, so pairs aren't made by entry: every class has a home, its largest
-    entry; homes that meet in an entry are compared once, in blocks of BLOCK classes, by signatures first. The few pairs
-    that those leave are verified; blocks that they leave dense are compared by whole sets, without a row for each pair."""
-    home = settle(mixed.groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("home"), F.first("component").alias("component")))
-    blocks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    member = settle(home.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    meets = mixed.select("key", "id").join(home.select("id", "home"), "id").select("key", "home").distinct()
-    pairs = meets.join(meets.select("key", F.col("home").alias("other")), "key").where("home <= other").select("home", "other").distinct()
-    pairs = pairs.join(blocks, "home").join(blocks.select(F.col("home").alias("other"), F.col("blocks").alias("more")), "other")
-    each = pairs.select("home", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "more").select("home", "other", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("j"))
-    each = each.where("home < other or i <= j").select("home", "i", "other", "j")
-    one = lambda h, b, side: each.select("home", "i", "other", "j", F.col(h).alias("h"), F.col(b).alias("b"), F.lit(side).alias("side"))
-    task = ["home", "i", "other", "j"]
-    sides = one("home", "i", 0).unionByName(one("other", "j", 1)).join(member.select(F.col("home").alias("h"), F.col("block").alias("b"), "id", "component"), ["h", "b"]).drop("h", "b")
-    sifted = settle(sides.join(signs.select("id", "n", "sign"), "id").groupBy(*task).applyInPandas(lambda rows: block_sift(rows, similar), "home long, i long, other long, j long, a long, b long"))
-    some = verified(sifted.where("a is not null").select("a", "b").distinct(), signs, docs, shingle, similar)
-    dense = settle(sides.join(sifted.where("a is null").select(*task), task, "left_semi"))
-    sets = settle(token_sets(docs.join(_sent(signs.select("id", F.col("rep").alias("doc_id")).join(dense.select("id").distinct(), "id")), "doc_id"), shingle))
-    return some.unionByName(dense.join(sets, "id").groupBy(*task).applyInPandas(lambda rows: block_links(rows, similar), "a long, b long"))
-
-
-def _sent(ids: DataFrame) -> DataFrame:
-    """ids as a settled frame, broadcast while it has SENT rows at most."""
-    ids = settle(ids)
-    return F.broadcast(ids) if ids.count() <= SENT else ids
-
-
-def token_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, tokens): the sorted token sets, as 64-bit numbers, of docs (id, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [tokens(normal(t), shingle).tobytes() for t in batch["text"]]})
-
-    return docs.select("id", "text").mapInPandas(run, "id long, tokens binary")
+def every(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+ENTRY = "key long, id long, rank long"
+
+
+def _flat(keys: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
+    """A row for each key."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+    return pd.DataFrame({"key": flat, "id": np.repeat(np.asarray(ids, np.int64), np.asarray([len(k) for k in keys], np.int64))})
+
+
+def rank_of(first: np.ndarray, n: int, frequent: np.ndarray) -> int:
+    """Order of classes as centres: by the share of frequent tokens among the first by hash, then by size."""
+    return int(1000 * within(first, frequent).mean()) << 40 | n
+
+
+LINK = "a long, b long, usual binary"
+
+
+def _links(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.asarray([x[0] for x in out], np.int64), "b": pd.array([x[1] for x in out], "Int64"), "usual": [x[2] for x in out]})
+
+
+class Verifier:
+    """Links of members with their centre, and for a centre the tokens in at least half of the differences of its first chunk."""
+
+    def __init__(self, similar: int):
+        self.similar, self.out, self.found = similar, [], []
+        self.c, self.first = 0, False
+
+    def start(self, c: int, chunk: int, tokens: np.ndarray, _: np.ndarray | None) -> None:
+        self.c, self.first, self.centre, self.found = c, chunk == 0, tokens, []
+
+    def add(self, i: int, x: np.ndarray) -> None:
+        if links(x, self.centre, self.similar):
+            self.out.append((self.c, i, None))
+        if self.first:
+            self.found.append(np.setxor1d(x, self.centre, assume_unique=True))
+
+    def end(self) -> None:
+        if len(self.found) >= USUAL:
+            every, times = np.unique(np.concatenate(self.found), return_counts=True)
+            usual = every[2 * times >= len(self.found)]
+            if len(usual):
+                self.out.append((self.c, None, usual.tobytes()))
+        self.found = []
+
+    def rows(self) -> pd.DataFrame:
+        out, self.out = self.out, []
+        return _links(out)
+
+
+class Differ:
+    """Keys of the differences of members and their centre."""
+
+    def __init__(self, similar: int, frequent: np.ndarray):
+        self.similar, self.frequent, self.out = similar, frequent, []
+
+    def start(self, c: int, _: int, tokens: np.ndarray, usual: np.ndarray | None) -> None:
+        self.salt, self.centre, self.usual = np.asarray([c], np.int64).view(np.uint64), tokens, usual
+
+    def add(self, i: int, x: np.ndarray) -> None:
+        self.out.append((mixed(self.salt, differences(x, self.centre, self.frequent, self.similar, self.usual)), i))
+
+    def end(self) -> None:
+        pass
+
+    def rows(self) -> pd.DataFrame:
+        out, self.out = self.out, []
+        return _flat([x[0] for x in out], [x[1] for x in out])
+
+
+class Join:
+    """One join: the settled tables that its steps share."""
+
+    def __init__(self, docs: DataFrame, shingle: int, similar: int):
+        self.known, self.shingle, self.similar = docs, shingle, similar
+        self.spark = docs.sparkSession
+        self.held: list[DataFrame] = []
+        self.sets: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.held.append(out := settle(df))
+        return out
+
+    def index(self) -> None:
+        """rows (doc_id, id, n_shingles), signs (id, rep, n, sign) of classes, and entry (key, id, rank) of keys of several classes."""
+        similar, shingle = self.similar, self.shingle
+        all_rows = classes(self.known, shingle, similar)
+        self.rows = self.keep(all_rows.select("doc_id", "id", "n_shingles"))
+        copies = self.rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        others = _sent(self.rows.join(copies.select("id", "rep"), "id").where("doc_id <> rep").select("doc_id"))
+        one = all_rows.where("id is not null").join(others, "doc_id", "left_anti")
+        prefix = F.expr(f"slice(first, 1, cast(n_shingles - ceil({similar} * n_shingles / 100) + 1 as int))")
+        often = one.select(F.explode(prefix).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
+        often = settle(often)
+        steps = often.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count(F.lit(1)).alias("tokens")).collect()  # some hundred rows
+        sums = {r.step: sum(x.tokens for x in steps if x.step >= r.step) for r in steps}
+        least = min((step for step, n in sums.items() if n <= MOST), default=1 << 30)
+        found = often.where(F.floor(F.log2("c") * 8) >= least).select("key").toArrow()["key"].to_numpy()
+        unsettle(often)
+        self.often = self.spark.sparkContext.broadcast(np.sort(found.astype(np.int64).view(np.uint64)))  # MOST numbers
+        sent = self.often
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frequent = sent.value
+            for batch in batches:
+                keys, ids, ranks, left = [], [], [], []
+                for i, n, x in zip(batch["id"].tolist(), batch["n_shingles"].tolist(), batch["first"], strict=True):
+                    first = np.asarray(x, np.int64).view(np.uint64)
+                    k, rank = entries(first, frequent, similar, n), rank_of(first, n, frequent)
+                    if k is None:
+                        left.append((0, i, rank, False))
+                    else:
+                        keys.append(k)
+                        ids.append(i)
+                        ranks.append(rank)
+                out = _flat(keys, ids)
+                yield out.assign(rank=np.repeat(np.asarray(ranks, np.int64), [len(k) for k in keys]) if keys else 0, whole=True)
+                if left:
+                    yield pd.DataFrame(left, columns=["key", "id", "rank", "whole"])
+
+        def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in range(0, len(batch), 100):
+                    part = batch.iloc[i : i + 100]
+                    yield _flat([entries(np.frombuffer(t, np.uint64), sent.value, similar) for t in part["tokens"]], part["id"].tolist())
+
+        self.signs = self.keep(one.select("id", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sign"))
+        found = settle(one.select("id", "n_shingles", "first").mapInPandas(run, ENTRY + ", whole boolean"))
+        unsettle(all_rows, others)
+        left = settle(found.where("not whole").select("id", "rank"))
+        rest = settle(self.tokenised(left.select("id")).mapInPandas(more, "key long, id long").join(_sent(left), "id"))
+        index = found.where("whole").select("key", "id", "rank").unionByName(rest)
+        several = settle(index.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key"))
+        self.entry = settle(index.join(several, "key"))
+        unsettle(found, left, rest, several)
+
+    def tokenised(self, ids: DataFrame) -> DataFrame:
+        """(id, tokens) of distinct classes: sorted sets of 64-bit numbers. Those that were asked for before are read again."""
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(i, AT_ONCE)
+                    sets = [tokens(normal(t.as_py()), shingle).tobytes() for t in part.column("text")]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "tokens"])
+            release()
+
+        new = ids = self.keep(ids)
+        for known in self.sets:
+            new = new.join(known.select("id"), "id", "left_anti")
+        new = _sent(new.join(self.signs.select("id", F.col("rep").alias("doc_id")), "id"))
+        self.sets.append(self.keep(self.known.join(new, "doc_id").select("id", "text").mapInArrow(run, "id long, tokens binary")))
+        unsettle(new)
+        return every(self.sets).join(F.broadcast(ids) if ids.count() <= SENT else ids, "id", "left_semi")
+
+    def beside(self, pairs: DataFrame, sets: DataFrame, visitor: Callable[[], Verifier | Differ], schema: str, usual: DataFrame | None = None) -> DataFrame:
+        """What a visitor makes of the distinct settled pairs (id, c). Members of a centre come in chunks of about CHUNK,
+        each with one copy of the centre's set and of its usual differences (c, usual), one after the other."""
+        chunks = _sent(pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 1"))
+        dealt = settle(pairs.join(chunks, "c", "left").select("c", "id", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).alias("chunk")))
+        none = F.lit(None).cast("binary").alias("usual")
+        members = dealt.join(sets, "id").select("c", "chunk", F.lit(1).alias("part"), "id", "tokens", none)
+        centres = dealt.select("c", "chunk").distinct().join(sets.select(F.col("id").alias("c"), "tokens"), "c")
+        centres = centres.withColumn("usual", none) if usual is None else centres.join(_sent(usual), "c", "left")
+        centres = centres.select("c", "chunk", F.lit(0).alias("part"), F.col("c").alias("id"), "tokens", "usual")
+        rows = members.unionByName(centres).repartition("c", "chunk").sortWithinPartitions("c", "chunk", "part")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            v = visitor()
+            for batch in batches:
+                for c, chunk, part, i, t, u in zip(batch["c"].tolist(), batch["chunk"].tolist(), batch["part"].tolist(), batch["id"].tolist(), batch["tokens"], batch["usual"], strict=True):
+                    if part == 0:
+                        v.end()
+                        v.start(c, chunk, np.frombuffer(t, np.uint64), None if u is None else np.frombuffer(u, np.uint64))
+                    else:
+                        v.add(i, np.frombuffer(t, np.uint64))
+                        if len(v.out) >= 200:
+                            yield v.rows()
+                if v.out:
+                    yield v.rows()
+            v.end()
+            yield v.rows()
+            release()
+
+        out = settle(rows.mapInPandas(run, schema))
+        unsettle(chunks, dealt)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, usual): the distinct pairs (id, c) that link, and for centres the usual differences. Pairs whose signatures
+        rule a link out go first; whole sets are read for what is left only."""
+        similar = self.similar
+        of = lambda c: self.signs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}"))
+
+        def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                ok = [may_link(*x, similar) for x in zip(batch["sid"], batch["sc"], batch["nid"].tolist(), batch["nc"].tolist(), strict=True)]
+                yield batch.loc[ok, ["id", "c"]]
+
+        near = pairs.join(of("id"), "id").join(of("c"), "c").where(fits("nid", "nc", similar)).select("id", "c", "sid", "sc", "nid", "nc")
+        left = settle(near.mapInPandas(sift, "id long, c long"))
+        sets = self.tokenised(left.select("id").union(left.select("c")).distinct())
+        out = self.keep(self.beside(left, sets, lambda: Verifier(similar), LINK))
+        unsettle(left)
+        return out
+
+    def differing(self, pairs: DataFrame, usual: DataFrame) -> DataFrame:
+        """(key, id) of the differences of classes and centres, settled."""
+        similar, sent = self.similar, self.often
+        sets = self.tokenised(pairs.select("id").union(pairs.select("c")).distinct())
+        return self.beside(pairs, sets, lambda: Differ(similar, sent.value), "key long, id long", usual)
+
+    def near(self, entry: DataFrame, forest: bool) -> DataFrame:
+        """Pairs (id, c) across components in entries of LEAF classes at most whose signatures allow a link."""
+        similar = self.similar
+        rows = entry.where(F.col("m") <= LEAF).select("key", "id", "component").join(self.signs.select("id", "n", "sign"), "id")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[tuple] = []
+
+            def found() -> list[tuple]:
+                _, ids, parts, sizes, signs = map(list, zip(*held, strict=True))
+                return near_pairs(ids, parts, sizes, signs, similar, forest)
+
+            for batch in batches:
+                out = []
+                for x in zip(batch["key"].tolist(), batch["id"].tolist(), batch["component"].tolist(), batch["n"].tolist(), batch["sign"], strict=True):
+                    if held and held[0][0] != x[0]:
+                        out += found()
+                        held = []
+                    held.append(x)
+                yield pd.DataFrame(out, columns=["id", "c"]).astype("int64")
+            if held:
+                yield pd.DataFrame(found(), columns=["id", "c"]).astype("int64")
+
+        return rows.repartition("key").sortWithinPartitions("key").select("key", "id", "component", "n", "sign").mapInPandas(run, "id long, c long")
+
+    def labels(self, label: DataFrame, found: DataFrame) -> DataFrame:
+        """label (id, component) with the links that were found as well: by one task while they are SENT at most, else by rounds of joins."""
+        links = found.where("b is not null").select("a", "b")
+        n = links.count()
+        if not n:
+            return label
+        edges = links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        if n + label.count() > SENT:
+            return self.keep(components(edges))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            root: dict[int, int] = {}
+            for batch in batches:
+                for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                    x, y = find(root, a), find(root, b)
+                    root[max(x, y)] = min(x, y)
+            yield pd.DataFrame({"id": list(root), "component": [find(root, c) for c in list(root)]}).astype("int64")
+
+        return self.keep(edges.coalesce(1).mapInPandas(run, "id long, component long"))
+
+    def component(self, rows: DataFrame, label: DataFrame) -> DataFrame:
+        """rows with the component of their id, the id itself where it links with nothing."""
+        known = F.broadcast(label) if label.count() <= SENT else label
+        return rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def parted(self, entry: DataFrame, label: DataFrame) -> DataFrame:
+        """Entries (key, id, ...) with component and m that hold several components, one for each set of classes; m counts them."""
+        now = settle(self.component(entry, label))
+        of = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"))
+        kept = settle(of.where("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", "m"))
+        out = settle(now.join(kept, "key"))
+        unsettle(now, kept)
+        return out
+
+    def stars(self, entry: DataFrame) -> DataFrame:
+        """Distinct (id, c) of the classes of entries and their centres."""
+        centre = settle(entry.groupBy("key").agg(F.max(F.struct("rank", "id")).alias("best")).select("key", F.col("best.id").alias("c")))
+        out = settle(entry.join(centre, "key").where("id <> c").select("id", "c").distinct())
+        unsettle(centre)
+        return out
+
+    def linked(self) -> DataFrame:
+        """(id, component) of classes that link with another."""
+        label = self.spark.range(0).select("id", F.col("id").alias("component"))
+        entry = self.parted(self.entry, label)
+        unsettle(self.entry)
+        while entry.take(1):
+            star = self.stars(entry)
+            found = self.verified(star)
+            label = self.labels(label, found)
+            now = self.parted(entry.where("m > 2").drop("component", "m"), label)  # the pair of two classes is verified
+            unsettle(star, entry)
+            large, entry = now.where(F.col("m") > LEAF), None
+            if large.take(1):
+                centres = self.stars(large)
+                fresh = self.differing(centres, found.where("usual is not null").select(F.col("a").alias("c"), "usual"))
+                more = self.parted(fresh, label)
+                both = settle(now.drop("rank").unionByName(more).where(F.col("m") <= LEAF))
+                left = settle(more.where(F.col("m") > LEAF).join(_sent(large.select("id", "rank").distinct()), "id"))
+                unsettle(centres, fresh, now, more)
+                now, entry = both, left if left.take(1) else None
+            # as many pairs as would join all; where some of those don't link, all
+            pairs = settle(self.near(now, True).distinct())
+            label = self.labels(label, self.verified(pairs))
+            rest = self.parted(now.drop("component", "m"), label)
+            unsettle(pairs, now)
+            pairs = settle(self.near(rest, False).distinct())
+            label = self.labels(label, self.verified(pairs))
+            unsettle(pairs, rest)
+            if entry is None:
+                break
+            entry = self.parted(entry.drop("component", "m"), label)
+        return label
 
 
 def fits(x: str, y: str, similar: int) -> Column:
@@ -327,43 +620,20 @@ def fits(x: str, y: str, similar: int) -> Column:
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """One row for each id, by shingles of that many words and that similarity in hundredths: doc_id, n_shingles, rep (the least id of the same words) and component_id."""
-    known = one_per_id(docs)
-    rows, salt = classes(known, shingle, similar)
-    signs = settle(rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sign").alias("sign")))
-    first = rows.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
-    often = np.sort(np.asarray([r.key for r in first.orderBy(F.desc("c"), "key").limit(MOST).collect()], np.int64).view(np.uint64))
-    whole, rows = rows, settle(rows.select("doc_id", "id", "n_shingles"))
-    unsettle(whole)
-    index = settle(_index(known, often, salt, shingle, similar))
-    several = index.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-    entry = settle(index.join(several, "key").distinct())  # copies fall together here
-    unsettle(index)
-    # every class of an entry with its centre
-    best = F.struct("often", "n", -F.col("id"))
-    centre = entry.groupBy("key").agg(F.max_by("id", best).alias("c"), F.max_by("n", best).alias("nc"))
-    star = entry.join(centre, "key").where((F.col("id") != F.col("c")) & fits("n", "nc", similar))
-    star = settle(star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
-    edges = verified(star, signs, known, shingle, similar)
-    label = components(edges)
-    # classes of an entry that are in different components still
-    now = entry.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    mixed = settle(now.join(split, "key"))
-    mixed = settle(mixed.join(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key"))
-    few = mixed.where(F.col("m") <= PAIRED)
-    x = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb", similar)).select("a", "b").distinct()
-    more = settle(verified(across.join(star, ["a", "b"], "left_anti"), signs, known, shingle, similar).unionByName(linked_blocks(mixed.where(F.col("m") > PAIRED), signs, known, shingle, similar)))
-    if more.take(1):
-        label = components(edges.unionByName(more))
-    unsettle(mixed, entry)
+    """One row for each id, by shingles of that many words and that similarity in hundredths, over 50: doc_id, n_shingles, rep (the
+    least id of the same words) and component_id."""
+    if not 50 < similar <= 100 or shingle < 1:
+        raise ValueError("similarity is over 50 and at most 100, a shingle has a word at least")
+    j = Join(one_per_id(docs), shingle, similar)
+    j.index()
+    label = j.linked()
     # numbers of classes to ids of documents: the least of a component
-    named = signs.select("id", "rep").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = j.component(j.signs.select("id", "rep"), label)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = named.join(least, "component").select("id", "rep", "component_id")
-    return rows.join(final, "id", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = settle(named.join(least, "component").select("id", "rep", "component_id"))
+    out = settle(j.rows.join(final, "id", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component_id", "doc_id").alias("component_id")))
+    unsettle(final, *j.held)
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -374,10 +644,11 @@ def digest(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """docs, columns as they were, with one document of each component: that of the least id. Rows without an id stay; of
     rows that share an id one stays, with the greatest text."""
-    kept = join(docs, shingle, similar).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    name = next(x for k in count() if (x := f"__kept{k}") not in {c.lower() for c in docs.columns})
+    kept = join(docs, shingle, similar).where("doc_id = component_id").select(F.col("doc_id").alias(name))
     lost = docs.where(F.col("doc_id").isNull())
     known = docs.where(F.col("doc_id").isNotNull())
-    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").take(1):
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1).take(1):
         order = Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("text").cast("string"), F.lit("")).desc())
-        known = known.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return known.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").unionByName(lost)
+        known = known.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).drop(name)
+    return known.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").unionByName(lost)
