@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside
+from .common import aside, release
 from .quality_model import remainder
 from .wordcache import in_chunks
 
@@ -316,6 +316,7 @@ def label(docs: DataFrame, net: BiGru | None) -> DataFrame:
             got = [x for part in in_chunks(x.as_py() for x in batch.column("text")) for x in judged(part)]
             more = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
+        release()
 
     return rest.mapInArrow(run, schema)
 

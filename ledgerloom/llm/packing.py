@@ -22,14 +22,14 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_per_id
+from .common import one_per_id, release
 
 LIMIT = 1024
 END = 0
@@ -38,7 +38,7 @@ QUADRATIC = 512
 BIN_ROWS = 2000
 BIN_BYTES = 16_000_000
 #: Distinct chunks whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 
 #: A byte-level tokenizer of this family never joins characters over a single space between two that aren't space.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -84,14 +84,20 @@ class Ids:
     """Little-endian 32-bit ids of texts, as the tokenizer of a file gives them; chunks are looked up once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.fast = fast_encoder(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens") or ()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own; few texts need it where there is a fast encoder."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def slow(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -179,6 +185,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
                         whole = len(cut) == 4 * LIMIT
                         rows.append((doc_id, start, len(cut) // 4, cut if with_ids or not whole else None, zlib.crc32(cut), n))
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+        release()
 
     return docs.mapInPandas(run, PIECE)
 
