@@ -81,12 +81,12 @@ def secrets(text: str | None) -> tuple:
     return n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found)))
 
 
-def jaccard(docs: dict) -> dict:
+def jaccard(docs: dict, shingle: int = 4, similar: int = 85) -> dict:
     """values (n_shingles, component_id)."""
     sets = {}
     for d, t in docs.items():
         ws = SPACED.findall(lower(t or ""))
-        sets[d] = {tuple(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))} if ws else set()
+        sets[d] = {tuple(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))} if ws else set()
     root = {d: d for d in docs}
 
     def find(x):
@@ -104,7 +104,7 @@ def jaccard(docs: dict) -> dict:
             for b in ds[i + 1 :]:
                 both[a, b] += 1
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= similar * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     least: dict = {}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -85,9 +87,15 @@ def test_decontaminate(spark, docs, odd, empty, items):
 
 
 def test_decontaminate_in_blocks(docs, items, monkeypatch):
-    whole = per_row(decontaminate.digest(docs, items), "n_hit", "n_items", "items_sha256")
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1500)
-    assert per_row(decontaminate.digest(docs, items), "n_hit", "n_items", "items_sha256") == whole
+    columns = ("n_hit", "n_items", "items_sha256", "longest")
+    whole = per_row(decontaminate.digest(docs, items), *columns)
+    for words, held, gathered in ((1500, 100, 1), (1500, 2, 40_000), (300, 2, 10**9)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        monkeypatch.setattr(decontaminate, "HELD", held)
+        monkeypatch.setattr(decontaminate, "GATHERED", gathered)
+        out = decontaminate.digest(docs, items)
+        assert per_row(out, *columns) == whole
+        assert out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
 
 
 def test_substring_dedup(docs, odd, empty):
@@ -129,8 +137,8 @@ def test_packing(docs, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    for df in (docs, odd):
+    special = docs.sparkSession.createDataFrame([(1, "hello <|endoftext|> world"), (2, "<|endoftext|>" * 700)], "doc_id long, text string")
+    for df in (docs, odd, special):
         greatest: dict = {}
         for r in df.select("doc_id", "text").collect():
             if r.doc_id is not None:
@@ -169,7 +177,6 @@ def test_fast_encoder(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rnd = random.Random(6)
     marks = ["a", "Ab", "é", "1", "23", ".", "'s", "'", "!?", " ", " ", "  ", "\n", " \n ", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85", "\x00", "日本", "😀", "<|endoftext|>", "_", "e\u0301", "\u200b", "ſ"]
     texts = ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
@@ -197,22 +204,42 @@ def entropy(w: str) -> float:
     return -sum(w.count(c) / len(w) * np.log2(w.count(c) / len(w)) for c in set(w))
 
 
-def test_entropy_windows(spark):
+def entropy_spans(text: str) -> list[str]:
+    """Spans of candidates by counting each window anew."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if any(re.search(p, m[0], re.A) for p in secret_scan.ALLOWED):
+            continue
+        rest = re.sub(secret_scan.HARMLESS, "", m[0], flags=re.A)
+        if len(rest) < 20 or not (re.search("[0-9]", rest) and re.search("[A-Za-z]", rest)) or re.search(secret_scan.ALLOWED[2], rest, re.A):
+            continue
+        if max(entropy(rest[i : i + 20]) for i in range(len(rest) - 19)) > secret_scan.THRESHOLD["hex" if re.fullmatch("[0-9A-Fa-f]+", rest) else "mixed"]:
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_windows(spark, docs, odd):
     rnd = random.Random(3)
-    texts = ["".join(rnd.choice("abcdefABCDEF0123456789+/xyzQRST"[: rnd.randint(6, 31)]) for _ in range(rnd.randint(20, 60))) for _ in range(60)]
-    texts += ["123e4567-e89b-12d3-a456-426614174000", "abc1" * 8, "EXAMPLEkey0a9s8d7f6g5h4j3k2"]
+    made = lambda n, k=31: "".join(rnd.choice("abcdefABCDEF0123456789+/xyzQRST"[:k]) for _ in range(n))
+    texts = [made(rnd.randint(20, 60), rnd.randint(6, 31)) for _ in range(60)]
+    texts += ["123e4567-e89b-12d3-a456-426614174000", "abc1" * 8, f"sample_id={made(40)}", f"2024-01-05-{made(30)}", "2024-01-05T10-20-30Z", "example_key_placeholder_12345", f"é {made(700)} x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    import re
+    for rows in (df, docs, odd):
+        got = per_row(rows.select("doc_id").join(secret_scan.digest(rows).select("doc_id", "spans"), "doc_id") if rows is df else secret_scan.digest(rows), "spans")
+        want = [(r.doc_id, entropy_spans(r.text or "")) for r in rows.collect()]
+        assert sorted(((d, [x for x in spans.split(",") if x.startswith("entropy")]) for d, spans in got), key=str) == sorted(want, key=str)
+    assert secret_scan.digest(df).where("doc_id in (62, 63) and spans like '%entropy%'").count() == 2
 
-    for r in secret_scan.digest(df).collect():
-        t = texts[r.doc_id]
-        found = [x for x in r.spans.split(",") if x.startswith("entropy")]
-        if any(re.search(p, t) for p in secret_scan.ALLOWED) or not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)):
-            assert not found
-            continue
-        most = max(entropy(t[i : i + 20]) for i in range(len(t) - 19))
-        limit = secret_scan.THRESHOLD["hex" if re.fullmatch("[0-9A-Fa-f]+", t) else "mixed"]
-        assert abs(most - limit) < 1e-9 or bool(found) == (most > limit)
+
+def test_long_candidate_and_many_matches(spark):
+    rnd = random.Random(5)
+    image = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(1_000_000))
+    many = "token=abcdef1 " * 20_000
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.digest(spark.createDataFrame([(1, f"x {image}"), (2, many)], "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert got[1].spans == "entropy:2:1000002" and got[2].n_assign == 20_000
+    assert got[2].spans.split(",")[-1] == f"assign:{14 * 19_999}:{14 * 20_000 - 1}"
 
 
 def test_jaccard_join(docs, odd, empty):
@@ -237,14 +264,78 @@ def test_jaccard_join_chains_and_frequent_tokens(spark, monkeypatch):
     for k in range(80, 140):  # all hold a frequent passage
         texts[k] = " ".join([*base[:50], *(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randint(5, 200)))])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    for frequent, combined, paired, block in ((100, 400, 8, 512), (5, 400, 2, 7), (5, 60, 100, 9), (2, 110, 1, 16)):
+    for frequent, leaf, chunk in ((100, 64, 64), (5, 24, 7)):
         monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
-        monkeypatch.setattr(jaccard_join, "PAIRED", paired)
-        monkeypatch.setattr(jaccard_join, "BLOCK", block)
-        monkeypatch.setattr(jaccard_join, "COMBINED", combined)
+        monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+        monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
         assert result(jaccard_join.digest(df), "n_shingles", "component_id") == brute.jaccard(texts)
 
 
+def test_jaccard_join_families_of_any_size(spark):
+    """Families of variants of 100, 400 and 5,000 tokens, from near copies to texts that share a third."""
+    rnd = random.Random(18)
+    texts = {}
+    for size, n in ((100, 60), (400, 40), (5000, 24)):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for _ in range(n):
+            share = rnd.choice((0.01, 0.02, 0.03, 0.04, 0.05, 0.08, 0.15))
+            texts[len(texts)] = " ".join(w if rnd.random() > share else f"v{rnd.randrange(10**6)}" for w in base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for shingle, similar in ((4, 85), (5, 80)):
+        want = brute.jaccard(texts, shingle, similar)
+        assert result(jaccard_join.join(df, shingle, similar), "n_shingles", "component_id") == want
+        assert 30 < len({c for _, c in want.values()}) < len(texts) - 20
+
+
+def sets_of_a_family(rng, n):
+    fresh = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, k, dtype=np.uint64)
+    out = [np.unique(fresh(n))]
+    for _ in range(14):
+        source, share = out[rng.integers(len(out))], rng.random() * 0.3
+        kept = source[rng.random(len(source)) > share / 2]
+        x = np.unique(np.concatenate((kept, fresh(rng.poisson(n * share / 2)), rng.choice(np.concatenate(out), rng.integers(0, 3)))))
+        out += [x] if len(x) else []
+    return out
+
+
+def test_jaccard_keys_meet():
+    """Sets that link share an index key, and a key of differences where they don't both link with the centre."""
+    rng, seen = np.random.default_rng(4), Counter()
+    for _ in range(120):
+        similar, n = int(rng.choice([60, 80, 85, 95, 100])), int(rng.choice([1, 2, 3, 5, 8, 15, 17, 31, 33, 60, 64, 130, 500]))
+        sets = sets_of_a_family(rng, n)
+        every, times = np.unique(np.concatenate(sets), return_counts=True)
+        frequent = every[(times >= rng.integers(2, 10)) | (rng.random(len(every)) < 0.1)]
+        keys = [set(jaccard_join.entries(x, frequent, similar).tolist()) for x in sets]
+        for x, own in zip(sets, keys, strict=True):
+            first = x[: (len(x) - jaccard_join.needed(len(x), similar) + 1) * 5 // 4 + 8]
+            part = jaccard_join.entries(first, frequent, similar, len(x))
+            assert part is None or set(part.tolist()) == own
+        link = [[len(set(a.tolist()) & set(b.tolist())) * 100 >= similar * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets]
+        assert link == [[jaccard_join.links(a, b, similar) for b in sets] for a in sets]
+        signs, sizes = [jaccard_join.signature(x) for x in sets], [len(x) for x in sets]
+        ids = list(range(len(sets)))
+        near = set(jaccard_join.near_pairs(ids, ids, sizes, signs, similar, False))
+        assert near >= {(j, i) for i in ids for j in range(i) if link[i][j]}
+        fit = [[100 * min(a, b) >= similar * max(a, b) for b in sizes] for a in sizes]
+        assert near == {(j, i) for i in ids for j in range(i) if fit[i][j] and jaccard_join.may_link(signs[i], signs[j], sizes[i], sizes[j], similar)}
+        some, root, whole = jaccard_join.near_pairs(ids, ids, sizes, signs, similar, True), {}, {}
+        for pairs, found in ((some, root), (near, whole)):
+            for x, y in pairs:
+                found[jaccard_join.find(found, x)] = jaccard_join.find(found, y)
+        joined = lambda found: {(j, i) for i in ids for j in range(i) if jaccard_join.find(found, i) == jaccard_join.find(found, j)}
+        assert set(some) <= near and len(some) < len(ids) and joined(root) == joined(whole)
+        for i, j in ((i, j) for i in range(len(sets)) for j in range(i) if link[i][j]):
+            assert keys[i] & keys[j]
+            seen["index"] += 1
+        for c in range(0, len(sets), 4):
+            own = [set(jaccard_join.differences(x, sets[c], frequent, similar).tolist()) for x in sets]
+            for i, j in ((i, j) for i in range(len(sets)) for j in range(i) if link[i][j] and c not in (i, j) and not (link[i][c] and link[j][c])):
+                assert own[i] & own[j]
+                seen["differences"] += 1
+    assert min(seen.values()) > 1000
+
+
 def test_sharding(docs, odd, empty):
     for df, n in ((docs, docs.count()), (odd, odd.count())):
         rows = sharding.shard(df).collect()
@@ -296,6 +387,60 @@ def test_quality_rules_reject_junk(spark):
     assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.2
 
 
+def test_quality_rules_in_a_rare_source(spark):
+    """A source of few rows is judged by all rows of its language, however few those rows are."""
+    rnd = random.Random(6)
+    normal = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(120))
+    junk = " ".join("#$%&*" * 8 for _ in range(60)) + " " + " ".join(f"{k}" for k in range(60))
+    rows = [(k, normal(), "en", "A") for k in range(400)] + [(400, junk, "en", "B"), (401, junk, "en", "A"), (402, normal(), "en", "C"), (403, junk, "xx", "D")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[k].base_failed for k in range(400, 404))
+    assert [got[k].kept for k in (400, 401, 402, 403)] == [False, False, True, False] and sum(got[k].kept for k in range(400)) >= 398
+
+
+def concentrated(x, starts):
+    """Minimum-covariance-determinant estimate of rows x, from the starts (location, scatter): squared distances."""
+    floors, h = np.diag(np.square(quality_rules.FLOORS)), int(np.ceil(quality_rules.KEPT_SHARE * len(x)))
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floors), x - m)
+
+    def step(m, c):
+        d = distance(m, c)
+        near = x[d <= np.sort(d)[h - 1]]
+        after = near.mean(0), np.cov(near.T, bias=True)
+        return after if np.linalg.det(after[1] + floors) < np.linalg.det(c + floors) else (m, c)
+
+    for _ in range(quality_rules.FIRST):
+        starts = [step(*s) for s in starts]
+    best = min(starts, key=lambda s: np.linalg.det(s[1] + floors))
+    for _ in range(quality_rules.MOST_STEPS):
+        best = step(*best)
+    d = distance(*best)
+    return d / max(1.0, np.sort(d)[int(np.ceil(0.5 * len(d))) - 1] / quality_rules.MEDIAN), np.linalg.det(best[1] + floors)
+
+
+def test_quality_rules_estimate(spark, monkeypatch):
+    """Distances and verdicts against a plain version of the estimate, from the same random parts."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality_rules, "MIN_GROUP", 60)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("s"))
+    known = quality_rules.counts(docs)
+    got = {r.doc_id: r.distance for r in quality_rules.outliers(known).collect()}
+    points = quality_rules._vector(known).selectExpr("doc_id", "lang", "x0", "x1", "x2", "x3", *(f"xxhash64({k}, x0, x1, x2, x3) h{k}" for k in (1, 2))).toPandas()
+    seen = 0
+    for _, own in points.groupby("lang"):
+        if len(own) < quality_rules.MIN_GROUP:
+            continue
+        x = own[["x0", "x1", "x2", "x3"]].to_numpy()
+        low, mid, high = (np.sort(x, 0)[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.16, 0.5, 0.84))
+        parts = [x[(own[f"h{k}"] % max(1, len(x) // quality_rules.RANDOM) == 0).to_numpy()] for k in (1, 2)]
+        want, det = concentrated(x, [(mid, np.diag(np.square((high - low) / 2))), *((p.mean(0), np.cov(p.T, bias=True)) for p in parts)])
+        mine = np.asarray([got[d] for d in own.doc_id])
+        assert np.allclose(mine, want, rtol=1e-3, atol=1e-4) and ((mine <= quality_rules.CUTOFF) == (want <= quality_rules.CUTOFF)).all()
+        seen += 1
+    assert seen >= 2
+
+
 def test_quality_model(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -321,7 +466,7 @@ def test_quality_model_reads_long_words_whole(spark):
     b = b"<" + rows[0][1].encode() + b">"
     read = quality_model.units([rows[0][1].encode()])
     seen = {x for u in read for x in quality_model.features(u)}
-    assert all(zlib.crc32(b[i : i + n]) % quality_model.SAME in seen for n in (3, 4, 5) for i in range(len(b) - n + 1))
+    assert all(zlib.crc32(b[i : i + n]) % quality_model.BUCKETS in seen for n in (3, 4, 5) for i in range(len(b) - n + 1))
     assert max(map(len, read)) <= quality_model.LONGEST + 1
     delta, bias = model = quality_model.train([t for _, t, _ in rows[:80]], [y for *_, y in rows[:80]])
     df = spark.createDataFrame(rows[80:], "doc_id long, text string, y int")
@@ -365,30 +510,51 @@ def test_gradients():
             assert abs((up - down) / 2 / e - grads[k][at]) < 2e-3
 
 
+def pooled(net, text: bytes) -> tuple[np.ndarray, int]:
+    """Sums over letters and their number, by one pass of the training network over the bytes around each window."""
+    total, letters, stride, context = np.zeros(len(net.langs)), 0, language_id.STRIDE, language_id.CONTEXT
+    for first in range(0, len(text), stride):
+        last = min(first + stride, len(text))
+        before, after = max(0, first - context), min(len(text), last + context) if last == first + stride else len(text)
+        f, _ = net._run(np.frombuffer(text[before:last], np.uint8)[None, :], "f", False)
+        b, _ = net._run(np.frombuffer(text[first:after], np.uint8)[None, ::-1], "b", False)
+        z = np.concatenate((f[0, first - before :], b[0, ::-1][: last - first]), 1) @ net.p["o"] + net.p["q"]
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        is_letter = [c > 127 or chr(c).isalpha() for c in text[first:last]]
+        total += z[is_letter].sum(0)
+        letters += sum(is_letter)
+    return total, letters
+
+
 def test_scoring_network_is_the_trained_one():
-    """Positions of the padded forward pass against those of scoring."""
+    """What a document's probabilities are pooled from, against the training network's states."""
+    rnd = random.Random(2)
     net = language_id.BiGru(["x", "y"])
-    segs = [b"abc", b"hello", b"q", b"abc"]
-    x, n = language_id.padded(segs)
-    f, _ = net._run(x, "f", False)
-    for k, s in enumerate(segs):
-        one = np.frombuffer(s, np.uint8)[None, :]
-        assert np.allclose(net._states(one, "f")[:, 0], f[k, : n[k]], atol=1e-5)
-        b, _ = net._run(one[:, ::-1], "b", False)
-        z = np.concatenate((f[k, : n[k]], b[0, ::-1]), 1) @ net.p["o"] + net.p["q"]
-        want = (z - np.log(np.exp(z).sum(1, keepdims=True))).sum(0)
-        assert np.allclose(net.sums(segs)[k, :-1], want, atol=1e-4) and net.sums(segs)[k, -1] == n[k]
+    texts = [b"abc", b"hello, 3 worlds", b"", b"q", b"12", bytes(rnd.randrange(256) for _ in range(192)), bytes(rnd.randrange(256) for _ in range(1000)), "naïve 日本語 ".encode() * 30]
+    got = net.sums(texts)
+    for row, t in zip(got, texts, strict=True):
+        want, letters = pooled(net, t)
+        assert row[-1] == letters and np.allclose(row[:-1], want, atol=1e-3 * max(1, letters))
 
 
 def test_network_reads_every_byte():
-    """Capitals, digits and punctuation enter the network; only letters are pooled."""
+    """Capitals, digits, punctuation and neighbouring words enter the network; only letters are pooled."""
     assert (language_id.EMBED, language_id.HIDDEN) == (10, 14)
-    assert language_id.segments("Ab-1, x") == [b"Ab-1,", b"x"]
     got = language_id.BiGru(["x", "y"]).sums([b"a1b", b"a2b", b"A1b", b"12"])
     assert got[:, -1].tolist() == [2, 2, 2, 0]
     assert len({tuple(row) for row in got[:3].tolist()}) == 3
 
 
+def test_label_of_a_word_depends_on_its_neighbours():
+    """A word that both languages share is labelled by the words beside it, which are not letters to pool."""
+    rnd = random.Random(3)
+    first, second = ["11", "22"], ["88", "99"]
+    texts = [" ".join(x for _ in range(6) for x in (rnd.choice(own), "same", rnd.choice(own))) for own in [first, second] * 60]
+    net = language_id.learn(texts, ["one", "two"] * 60)
+    got = net.sums([b"11 same 22", b"88 same 99"])
+    assert got[:, -1].tolist() == [4, 4] and got[0, 0] > got[0, 1] and got[1, 1] > got[1, 0]
+
+
 def test_rare_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE", 20)
     monkeypatch.setattr(language_id, "EACH", 5)
@@ -462,7 +628,7 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
     text = {r.doc_id: r.text for r in kept.collect()}
     once = corpus_pipeline.settle(stages["jaccard_join"](spark, kept, sf))
-    want = {c for _, c in brute.jaccard(text).values()}
+    want = {c for _, c in brute.jaccard(text, 5, 80).values()}
     assert {r.doc_id for r in once.collect()} == want
     clean = corpus_pipeline.settle(stages["decontaminate"](spark, once, sf))
     want = {d for d, x in brute.contamination({d: text[d] for d in want}, items).items() if not x[-1]}
