@@ -66,8 +66,8 @@ def _passed(edges: list[float], x: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x))
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS, held: list[DataFrame] | None = None) -> DataFrame:
-    """rows (doc_id, size, text_crc32, g) with n, the size of the group, and label, the shard that it ends in. held gets the
+def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS, tables: list[DataFrame] | None = None) -> DataFrame:
+    """rows (doc_id, size, text_crc32, g) with n, the size of the group, and label, the shard that it ends in. tables gets the
     tables that the result reads."""
     spark, link = rows.sparkSession, ["g", "text_crc32", "size"]  # texts are equal where all three are
     first = rows.withColumn("label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int"))
@@ -118,16 +118,16 @@ def propagate(rows: DataFrame, shards: int, rounds: int = ROUNDS, held: list[Dat
     lone = lone.withColumn("label", _passed(edges, F.col("before") + F.col("size") / 2))
     columns = [*rows.columns, "n", "label"]
     whole = out.where("n > 1 and target is not null").withColumn("label", F.col("target"))
-    if held is not None:
-        held += [groups, small, left, known]
+    if tables is not None:
+        tables += [groups, small, left, known]
     return whole.select(columns).unionByName(pieced.select(columns)).unionByName(lone.select(columns))
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, shard, slot."""
-    held: list[DataFrame] = []
-    rows = settle(propagate(_sized(docs), shards, held=held))
-    unsettle(*held)
+    tables: list[DataFrame] = []
+    rows = settle(propagate(_sized(docs), shards, tables=tables))
+    unsettle(*tables)
     n, total, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     per = buckets_for(-(-n // shards))
     loads = {r.label: r.load for r in rows.groupBy("label").agg(F.sum("size").alias("load")).collect()}
