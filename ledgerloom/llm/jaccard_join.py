@@ -132,8 +132,13 @@ def find(root: dict[int, int], c: int) -> int:
 
 
 def near_pairs(ids: list[int], parts: list[int], sizes: list[int], signs: list[bytes], similar: int, forest: bool) -> list[tuple[int, int]]:
-    """The pairs across components whose sizes and signatures allow a link; with forest only as many as would join them all.
-    Signatures of sizes that fit are of one length or the next."""
+    """The pairs across components whose sizes and signatures allow a link; with forest only as many as would join them all."""
+    return near_some(ids, parts, sizes, signs, similar, forest)[0]
+
+
+def near_some(ids: list[int], parts: list[int], sizes: list[int], signs: list[bytes], similar: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """near_pairs(), and whether the forest left none out. Signatures of sizes that fit are of one length or the next."""
+    whole = True
     by: dict[int, list[int]] = {}
     for k, x in enumerate(signs):
         by.setdefault(len(x), []).append(k)
@@ -152,7 +157,9 @@ def near_pairs(ids: list[int], parts: list[int], sizes: list[int], signs: list[b
                 if x != y or not forest:
                     root[x] = y
                     out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
-    return out
+                else:
+                    whole = False
+    return out, whole
 
 
 def mixed(*parts: np.ndarray | np.uint64) -> np.ndarray:
@@ -516,7 +523,8 @@ class Join:
         return self.beside(pairs, sets, lambda: Differ(similar, sent.value), "key long, id long", usual)
 
     def near(self, entry: DataFrame, forest: bool) -> DataFrame:
-        """Pairs (id, c) across components in entries of LEAF classes at most whose signatures allow a link."""
+        """Pairs (id, c) across components in entries of LEAF classes at most whose signatures allow a link, with their entry's key.
+        A row without id and c: the forest left out pairs of that entry."""
         similar = self.similar
         rows = entry.where(F.col("m") <= LEAF).select("key", "id", "component").join(self.signs.select("id", "n", "sign"), "id")
 
@@ -524,8 +532,12 @@ class Join:
             held: list[tuple] = []
 
             def found() -> list[tuple]:
-                _, ids, parts, sizes, signs = map(list, zip(*held, strict=True))
-                return near_pairs(ids, parts, sizes, signs, similar, forest)
+                keys, ids, parts, sizes, signs = map(list, zip(*held, strict=True))
+                pairs, whole = near_some(ids, parts, sizes, signs, similar, forest)
+                return [(keys[0], *x) for x in pairs] + [(keys[0], None, None)] * (not whole)
+
+            def frame(out: list[tuple]) -> pd.DataFrame:
+                return pd.DataFrame({c: pd.array([x[k] for x in out], "Int64") for k, c in enumerate(("key", "id", "c"))})
 
             for batch in batches:
                 out = []
@@ -534,11 +546,12 @@ class Join:
                         out += found()
                         held = []
                     held.append(x)
-                yield pd.DataFrame(out, columns=["id", "c"]).astype("int64")
+                yield frame(out)
             if held:
-                yield pd.DataFrame(found(), columns=["id", "c"]).astype("int64")
+                yield frame(found())
+            release()
 
-        return rows.repartition("key").sortWithinPartitions("key").select("key", "id", "component", "n", "sign").mapInPandas(run, "id long, c long")
+        return rows.repartition("key").sortWithinPartitions("key").select("key", "id", "component", "n", "sign").mapInPandas(run, "key long, id long, c long")
 
     def labels(self, label: DataFrame, found: DataFrame) -> DataFrame:
         """label (id, component) with the links that were found as well: by one task while they are SENT at most, else by rounds of joins."""
@@ -601,14 +614,18 @@ class Join:
                 left = settle(more.where(F.col("m") > LEAF).join(_sent(large.select("id", "rank").distinct()), "id"))
                 unsettle(centres, fresh, now, more)
                 now, entry = both, left if left.take(1) else None
-            # as many pairs as would join all; where some of those don't link, all
-            pairs = settle(self.near(now, True).distinct())
-            label = self.labels(label, self.verified(pairs))
-            rest = self.parted(now.drop("component", "m"), label)
-            unsettle(pairs, now)
-            pairs = settle(self.near(rest, False).distinct())
+            # as many pairs as would join all; where some of those don't link, all of the entries that have more
+            close = settle(self.near(now, True))
+            pairs = settle(close.where("c is not null").select("id", "c").distinct())
             label = self.labels(label, self.verified(pairs))
-            unsettle(pairs, rest)
+            again = _sent(close.where("c is null").select("key"))
+            unsettle(pairs, close)
+            if again.take(1):
+                rest = self.parted(now.join(again, "key", "left_semi").drop("component", "m"), label)
+                pairs = settle(self.near(rest, False).select("id", "c").distinct())
+                label = self.labels(label, self.verified(pairs))
+                unsettle(pairs, rest)
+            unsettle(now, again)
             if entry is None:
                 break
             entry = self.parted(entry.drop("component", "m"), label)

@@ -271,6 +271,24 @@ def test_jaccard_join_chains_and_frequent_tokens(spark, monkeypatch):
         assert result(jaccard_join.digest(df), "n_shingles", "component_id") == brute.jaccard(texts)
 
 
+def test_jaccard_join_compares_an_entry_once(spark, monkeypatch):
+    """Entries of which all pairs that signatures allow were verified are not read a second time."""
+    line = " ".join(f"same{k}" for k in range(8))
+    texts = {i: f"{line} " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(60)}
+    texts |= {100 + i: " ".join("changed" if k == 7 * i else f"v{k}" for k in range(150)) for i in range(12)}  # one family
+    df, seen, near = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), [], jaccard_join.Join.near
+
+    def counted(self, entry, forest):
+        seen.append((forest, {r.id for r in entry.select("id").distinct().collect()}))
+        return near(self, entry, forest)
+
+    monkeypatch.setattr(jaccard_join.Join, "near", counted)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1000)
+    assert result(jaccard_join.digest(df), "n_shingles", "component_id") == brute.jaccard(texts)
+    assert max(len(ids) for forest, ids in seen if forest) >= 9
+    assert not any(ids for forest, ids in seen if not forest)
+
+
 def test_jaccard_join_families_of_any_size(spark):
     """Families of variants of 100, 400 and 5,000 tokens, from near copies to texts that share a third."""
     rnd = random.Random(18)
