@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..operators.storage import settle, shared_dir, unsettle
 
-__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "one_per_id", "release", "running", "settle", "shared_dir", "small_batches", "table", "texts", "unsettle"]
+__all__ = ["BUCKET_ROWS", "aside", "buckets_for", "components", "keeps", "one_per_id", "release", "running", "settle", "shared_dir", "small_batches", "table", "texts", "unsettle"]
 
 #: White space of the word rules: a space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -39,8 +39,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def release() -> None:
-    """Gives memory that a worker's task no longer uses back to the system: workers stay, beside others and the JVM."""
+_kept: list[Callable] = []
+
+
+def keeps(f: Callable) -> Callable:
+    """For functions with a cache that workers keep from task to task of one operator: release() of any other one clears it."""
+    _kept.append(f)
+    return f
+
+
+def release(own: Callable | None = None) -> None:
+    """Gives memory that a worker's task no longer uses back to the system: workers stay, beside others and the JVM. What
+    they keep of other operators than that of own goes too."""
+    for f in _kept:
+        if f is not own:
+            f.cache_clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
     if trim:

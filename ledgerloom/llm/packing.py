@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_per_id, release
+from .common import keeps, one_per_id, release
 
 LIMIT = 1024
 END = 0
@@ -129,6 +129,7 @@ class Ids:
         return [b"".join([first, *map(find, x[1:])]) for first, x in zip(firsts, lists, strict=True)]
 
 
+@keeps
 @lru_cache(2)
 def loaded(path: str) -> Ids:
     """One for each worker: its chunks stay known from task to task."""
@@ -185,7 +186,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
                         whole = len(cut) == 4 * LIMIT
                         rows.append((doc_id, start, len(cut) // 4, cut if with_ids or not whole else None, zlib.crc32(cut), n))
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
-        release()
+        release(loaded)
 
     return docs.mapInPandas(run, PIECE)
 

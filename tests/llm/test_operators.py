@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ledgerloom.llm import decontaminate, jaccard_join, language_id, packing, quality_model, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
+from ledgerloom.llm import common, decontaminate, jaccard_join, language_id, packing, quality_model, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
 from ledgerloom.llm.queries import oracle_sql, queries, tokenizer_path
 
 from . import brute
@@ -633,6 +633,14 @@ def test_assign():
             assert at == size
 
 
+def test_workers_drop_what_other_operators_keep():
+    packing.loaded(tokenizer_path())
+    common.release(packing.loaded)  # as packing's tasks end
+    assert packing.loaded.cache_info().currsize == 1
+    common.release()  # as others' do, and as tasks of language_id begin
+    assert packing.loaded.cache_info().currsize == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
