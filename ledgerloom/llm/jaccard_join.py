@@ -10,7 +10,8 @@ two, for sets of any size. G goes by powers of two of n; sets near such a bound
 So every pair that may link meets in an entry of this index.
 
 Entries don't list all pairs of their classes. Every class of an entry is verified against the entry's centre, the class with
-most frequent tokens for its size, usually the text that the others are variants of. What links becomes components, and only
+most frequent tokens for its size, usually the text that the others are variants of. Entries of more than LEAF classes that
+are mostly the same share one centre, so that a family's differences are taken once and not once an entry. What links becomes components, and only
 entries that still hold several of them go on. Where they have LEAF classes at most, one task compares the signatures of
 classes of different components, and what those allow is verified. Larger ones go by an index of differences. Let D be the symmetric
 difference of a class's set and the centre's. If two classes link and not both link with the centre, their D have tokens in
@@ -340,7 +341,7 @@ class Verifier:
     def start(self, c: int, chunk: int, tokens: np.ndarray, _: np.ndarray | None) -> None:
         self.c, self.first, self.centre, self.found = c, chunk == 0, tokens, []
 
-    def add(self, i: int, x: np.ndarray) -> None:
+    def add(self, i: int, x: np.ndarray, _: int) -> None:
         if links(x, self.centre, self.similar):
             self.out.append((self.c, i, None))
         if self.first:
@@ -360,7 +361,7 @@ class Verifier:
 
 
 class Differ:
-    """Keys of the differences of members and their centre."""
+    """Keys of the differences of members and their centre, with the members' components."""
 
     def __init__(self, similar: int, frequent: np.ndarray):
         self.similar, self.frequent, self.out = similar, frequent, []
@@ -368,15 +369,16 @@ class Differ:
     def start(self, c: int, _: int, tokens: np.ndarray, usual: np.ndarray | None) -> None:
         self.salt, self.centre, self.usual = np.asarray([c], np.int64).view(np.uint64), tokens, usual
 
-    def add(self, i: int, x: np.ndarray) -> None:
-        self.out.append((mixed(self.salt, differences(x, self.centre, self.frequent, self.similar, self.usual)), i))
+    def add(self, i: int, x: np.ndarray, component: int) -> None:
+        self.out.append((mixed(self.salt, differences(x, self.centre, self.frequent, self.similar, self.usual)), i, component))
 
     def end(self) -> None:
         pass
 
     def rows(self) -> pd.DataFrame:
         out, self.out = self.out, []
-        return _flat([x[0] for x in out], [x[1] for x in out])
+        keys = [x[0] for x in out]
+        return _flat(keys, [x[1] for x in out]).assign(component=np.repeat(np.asarray([x[2] for x in out], np.int64), np.asarray([len(k) for k in keys], np.int64)))
 
 
 class Join:
@@ -466,26 +468,27 @@ class Join:
         return every(self.sets).join(F.broadcast(ids) if ids.count() <= SENT else ids, "id", "left_semi")
 
     def beside(self, pairs: DataFrame, sets: DataFrame, visitor: Callable[[], Verifier | Differ], schema: str, usual: DataFrame | None = None) -> DataFrame:
-        """What a visitor makes of the distinct settled pairs (id, c). Members of a centre come in chunks of about CHUNK,
+        """What a visitor makes of the distinct settled pairs (id, c), with the component of id or without. Members of a centre come in chunks of about CHUNK,
         each with one copy of the centre's set and of its usual differences (c, usual), one after the other."""
         chunks = _sent(pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 1"))
-        dealt = settle(pairs.join(chunks, "c", "left").select("c", "id", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).alias("chunk")))
+        known = F.col("component" if "component" in pairs.columns else "id").alias("component")
+        dealt = settle(pairs.join(chunks, "c", "left").select("c", "id", known, F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).alias("chunk")))
         none = F.lit(None).cast("binary").alias("usual")
-        members = dealt.join(sets, "id").select("c", "chunk", F.lit(1).alias("part"), "id", "tokens", none)
+        members = dealt.join(sets, "id").select("c", "chunk", F.lit(1).alias("part"), "id", "component", "tokens", none)
         centres = dealt.select("c", "chunk").distinct().join(sets.select(F.col("id").alias("c"), "tokens"), "c")
         centres = centres.withColumn("usual", none) if usual is None else centres.join(_sent(usual), "c", "left")
-        centres = centres.select("c", "chunk", F.lit(0).alias("part"), F.col("c").alias("id"), "tokens", "usual")
+        centres = centres.select("c", "chunk", F.lit(0).alias("part"), F.col("c").alias("id"), F.col("c").alias("component"), "tokens", "usual")
         rows = members.unionByName(centres).repartition("c", "chunk").sortWithinPartitions("c", "chunk", "part")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v = visitor()
             for batch in batches:
-                for c, chunk, part, i, t, u in zip(batch["c"].tolist(), batch["chunk"].tolist(), batch["part"].tolist(), batch["id"].tolist(), batch["tokens"], batch["usual"], strict=True):
+                for c, chunk, part, i, own, t, u in zip(*(batch[x].tolist() for x in ("c", "chunk", "part", "id", "component")), batch["tokens"], batch["usual"], strict=True):
                     if part == 0:
                         v.end()
                         v.start(c, chunk, np.frombuffer(t, np.uint64), None if u is None else np.frombuffer(u, np.uint64))
                     else:
-                        v.add(i, np.frombuffer(t, np.uint64))
+                        v.add(i, np.frombuffer(t, np.uint64), own)
                         if len(v.out) >= 200:
                             yield v.rows()
                 if v.out:
@@ -517,10 +520,11 @@ class Join:
         return out
 
     def differing(self, pairs: DataFrame, usual: DataFrame) -> DataFrame:
-        """(key, id) of the differences of classes and centres, settled."""
+        """(key, id, component) of the differences of classes and centres, settled. Pairs (id, c, component) bring the components:
+        there are many keys to a pair, which needn't be joined to labels then."""
         similar, sent = self.similar, self.often
         sets = self.tokenised(pairs.select("id").union(pairs.select("c")).distinct())
-        return self.beside(pairs, sets, lambda: Differ(similar, sent.value), "key long, id long", usual)
+        return self.beside(pairs, sets, lambda: Differ(similar, sent.value), "key long, id long, component long", usual)
 
     def near(self, entry: DataFrame, forest: bool) -> DataFrame:
         """Pairs (id, c) across components in entries of LEAF classes at most whose signatures allow a link, with their entry's key.
@@ -581,39 +585,61 @@ class Join:
     def parted(self, entry: DataFrame, label: DataFrame) -> DataFrame:
         """Entries (key, id, ...) with component and m that hold several components, one for each set of classes; m counts them."""
         now = settle(self.component(entry, label))
+        out = self.several(now)
+        unsettle(now)
+        return out
+
+    def several(self, now: DataFrame) -> DataFrame:
+        """parted() of settled entries whose classes have their components."""
         of = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"))
         kept = settle(of.where("x <> y").groupBy("m", "s", "t").agg(F.min("key").alias("key")).select("key", "m"))
         out = settle(now.join(kept, "key"))
-        unsettle(now, kept)
+        unsettle(kept)
         return out
 
-    def stars(self, entry: DataFrame) -> DataFrame:
-        """Distinct (id, c) of the classes of entries and their centres."""
-        centre = settle(entry.groupBy("key").agg(F.max(F.struct("rank", "id")).alias("best")).select("key", F.col("best.id").alias("c")))
-        out = settle(entry.join(centre, "key").where("id <> c").select("id", "c").distinct())
-        unsettle(centre)
+    def centres(self, entry: DataFrame) -> DataFrame:
+        """(key, c) of entries and their centres, settled. Large entries of one family share a centre: of the centres of a
+        class's large entries the first in rank stands for the class, and a large entry takes the one that stands for most of its
+        classes. It is before all of the entry's classes in rank, or one of them, so centres still fall from round to round."""
+        best = entry.groupBy("key").agg(F.max(F.struct("rank", "id")).alias("best"))
+        large = entry.where((F.col("m") > LEAF) & (F.col("m") > 2))  # a pair is verified by its own centre
+        if not large.take(1):
+            return settle(best.select("key", F.col("best.id").alias("c")))
+        own = settle(best)
+        keys = _sent(large.select("key").distinct().join(own, "key"))
+        first = _sent(large.select("key", "id").join(keys, "key").groupBy("id").agg(F.max("best").alias("best")))
+        votes = large.select("key", "id").join(first, "id").groupBy("key", "best").agg(F.count(F.lit(1)).alias("n"))
+        most = _sent(votes.groupBy("key").agg(F.max(F.struct("n", "best")).alias("most")).select("key", F.col("most.best.id").alias("shared")))
+        out = settle(own.join(most, "key", "left").select("key", F.coalesce("shared", "best.id").alias("c")))
+        unsettle(own, keys, first, most)
         return out
 
+    def stars(self, entry: DataFrame, centres: DataFrame, *more: str) -> DataFrame:
+        """Distinct (id, c) of the classes of entries and their centres, and more columns of the classes."""
+        return settle(entry.join(centres, "key").where("id <> c").select("id", "c", *more).distinct())
+
     def linked(self) -> DataFrame:
         """(id, component) of classes that link with another."""
         label = self.spark.range(0).select("id", F.col("id").alias("component"))
         entry = self.parted(self.entry, label)
         unsettle(self.entry)
         while entry.take(1):
-            star = self.stars(entry)
+            centres = self.centres(entry)
+            star = self.stars(entry, centres)
             found = self.verified(star)
             label = self.labels(label, found)
             now = self.parted(entry.where("m > 2").drop("component", "m"), label)  # the pair of two classes is verified
             unsettle(star, entry)
             large, entry = now.where(F.col("m") > LEAF), None
             if large.take(1):
-                centres = self.stars(large)
-                fresh = self.differing(centres, found.where("usual is not null").select(F.col("a").alias("c"), "usual"))
-                more = self.parted(fresh, label)
+                pairs = self.stars(large, centres, "component")
+                fresh = self.differing(pairs, found.where("usual is not null").select(F.col("a").alias("c"), "usual"))
+                more = self.several(fresh)
                 both = settle(now.drop("rank").unionByName(more).where(F.col("m") <= LEAF))
                 left = settle(more.where(F.col("m") > LEAF).join(_sent(large.select("id", "rank").distinct()), "id"))
-                unsettle(centres, fresh, now, more)
+                unsettle(pairs, fresh, now, more)
                 now, entry = both, left if left.take(1) else None
+            unsettle(centres)
             # as many pairs as would join all; where some of those don't link, all of the entries that have more
             close = settle(self.near(now, True))
             pairs = settle(close.where("c is not null").select("id", "c").distinct())

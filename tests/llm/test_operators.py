@@ -289,6 +289,27 @@ def test_jaccard_join_compares_an_entry_once(spark, monkeypatch):
     assert not any(ids for forest, ids in seen if not forest)
 
 
+def test_jaccard_join_takes_a_familys_differences_once(spark, monkeypatch):
+    """Large entries that are mostly the same have one centre, others their own; keys of differences bring components."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 10)
+    members = {k: list(range(40 - k)) for k in range(12)}  # each without the centre of the one before
+    members |= {20: list(range(100, 130)), 30: [5, 7], 31: [101, 5]}
+    rows = [(k, i, i, i, len(ids)) for k, ids in members.items() for i in ids]
+    entry = spark.createDataFrame(rows, "key long, id long, rank long, component long, m long")
+    join = jaccard_join.Join(spark.createDataFrame([], SCHEMA), 4, 85)
+    centres = join.centres(entry)
+    assert {r.key: r.c for r in centres.collect()} == {**dict.fromkeys(range(12), 39), 20: 129, 30: 7, 31: 101}
+    pairs = join.stars(entry.where("m > 10"), centres, "component")
+    assert sorted(map(tuple, pairs.collect())) == sorted([(i, 39, i) for i in range(39)] + [(i, 129, i) for i in range(100, 129)])
+    base = np.arange(1, 200, dtype=np.uint64) << np.uint64(40)
+    differ = jaccard_join.Differ(85, base[:0])
+    differ.start(3, 0, base, None)
+    for i, k in ((1, 9), (2, 30)):
+        differ.add(i, base[k:], 70 + i)
+    got = differ.rows()
+    assert set(zip(got["id"], got["component"])) == {(1, 71), (2, 72)}
+
+
 def test_jaccard_join_families_of_any_size(spark):
     """Families of variants of 100, 400 and 5,000 tokens, from near copies to texts that share a third."""
     rnd = random.Random(18)
